@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftspark.llm import corpus_queries, credential_queries, lookalike_queries, personal_queries, split_queries
+from siftspark.llm import corpus_queries, credential_queries, lookalike_queries, personal_queries, split_queries, subject_queries
 
-_MODULES = [corpus_queries, credential_queries, lookalike_queries, personal_queries, split_queries]
+_MODULES = [corpus_queries, credential_queries, lookalike_queries, personal_queries, split_queries, subject_queries]
 
 
 def queries() -> dict:
