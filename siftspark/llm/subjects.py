@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -44,6 +45,8 @@ LEAST_SHARE = 0.3
 LEAST_WORDS, LEAST_PART = 2.0, 0.02
 #: Alternations between the factors, and updates of the weights in each.
 ROUNDS, UPDATES = 3, 15
+#: Occurrences of a term in a text that count in full.
+LINEAR = 8
 #: Matrix entries in memory at a time.
 CHUNK = 200_000
 
@@ -52,8 +55,8 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _FENCE = re.compile(r"^```[^\n]*\n[\s\S]*?^```[^\n]*$", re.M)
 
 
-def terms(text: str | None) -> dict[int, int]:
-    """Column and count of each term of ``text``. Fenced code in a text that is mostly prose illustrates it and isn't counted."""
+def terms(text: str | None) -> dict[int, float]:
+    """Column and count of each term of ``text``; counts beyond ``LINEAR`` grow by their logarithm, so that no single text makes a profile. Fenced code in a text that is mostly prose illustrates it and isn't counted."""
     if not text:
         return {}
     if "```" in text:
@@ -67,10 +70,10 @@ def terms(text: str | None) -> dict[int, int]:
         if any(unicodedata.category(c) == "Cf" for c in set(text)):
             text = "".join(c for c in text if unicodedata.category(c) != "Cf")
     words = Counter(_WORD.findall(text.lower()))
-    out: dict[int, int] = {}
+    out: dict[int, float] = {}
     for word, n in words.items():
         column = crc32(word.encode("utf-8", "replace")) % COLUMNS
-        out[column] = out.get(column, 0) + n
+        out[column] = out.get(column, 0) + (n if n <= LINEAR else LINEAR * (1 + log(n / LINEAR)))
     return out
 
 
@@ -187,7 +190,7 @@ def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFram
     """For each document and subject with a share in it: doc_id, subject, share, words.
 
     ``share`` is the subject's part in the document's subject matter, ``words`` how many of its
-    words that matter makes up. Null, empty and blank texts, and texts without terms, give no
+    words (counted as in :func:`terms`) that matter makes up. Null, empty and blank texts, and texts without terms, give no
     row. Without usable labels (of subjects in ``subjects``, of documents in ``documents``)
     there is no row. Repeated labels count once; of several subjects of a document each counts
     in part; repeated documents give repeated rows; further columns are ignored.
