@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import history
+from siftspark.plans import history, rule_queries
 
-_MODULES = [history]
+_MODULES = [history, rule_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return rule_queries.policy_strict_actions(spark, sf_dir)
