@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import history, rule_queries
+from siftspark.plans import history, rule_queries, text_queries
 
-_MODULES = [history, rule_queries]
+_MODULES = [history, rule_queries, text_queries]
 
 
 def queries() -> dict:
