@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _W, _D, _S = "0-9A-Za-z_", "0-9", r"\t\n\f\r "
-_BOUNDARY = f"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
-_NOT_BOUNDARY = f"(?:(?<=[{_W}])(?=[{_W}])|(?<![{_W}])(?![{_W}]))"
+# Flags are off inside: under case folding, the classes would take in two letters beyond ASCII.
+_BOUNDARY = f"(?-iu:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+_NOT_BOUNDARY = f"(?-iu:(?<=[{_W}])(?=[{_W}])|(?<![{_W}])(?![{_W}]))"
 
 
 _WORD_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
@@ -51,11 +52,11 @@ def java(pattern: str, flags: str = "ium") -> str:
             elif n.lower() in classes and n.isupper():
                 out.append(f"&&[^{classes[n.lower()]}]" if in_class else f"[^{classes[n.lower()]}]")
             elif n == "b" and not in_class:
-                # Half a boundary is enough beside a known word character.
+                # Half a boundary is enough beside a known word character (seen again, as case folding joins two letters beyond ASCII to s and k).
                 if _starts_with_word(pattern, i + 2):
-                    out.append(f"(?<![{_W}])")
+                    out.append(f"(?-iu:(?<![{_W}])(?=[{_W}]))")
                 elif i and pattern[i - 1] in _WORD_CHARACTERS and pattern[i - 2 : i - 1] != "\\":
-                    out.append(f"(?![{_W}])")
+                    out.append(f"(?-iu:(?<=[{_W}])(?![{_W}]))")
                 else:
                     out.append(_BOUNDARY)
             elif n == "B" and not in_class:

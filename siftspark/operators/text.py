@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftspark.functions.regexlang import count, extract_all, matches
+from siftspark.functions.regexlang import count, extract_all, java, matches
 
 # Patterns of hidden and obfuscated content.
 HTML_COMMENT = r"<!--(?:[^-]|-[^-])*-->"
@@ -98,28 +98,30 @@ def mask_secrets(text: Column) -> Column:
     """The text with each secret's value replaced by its label; what surrounds the value stays."""
     out = text
     for label, _, pattern, group in SECRETS:
-        from siftspark.functions.regexlang import java
-
         if group:
-            at = _value_group(pattern)
-            pattern = f"({pattern[:at]}){pattern[at:]}"
-            out = F.regexp_replace(out, java(pattern), f"$1[REDACTED:{label}]")
+            out = F.regexp_replace(out, java(around_value(pattern)), f"$1[REDACTED:{label}]$2")
         else:
             out = F.regexp_replace(out, java(pattern), f"[REDACTED:{label}]")
     return out
 
 
-def _value_group(pattern: str) -> int:
-    """Where the first capturing group of a pattern begins."""
-    i = 0
+def around_value(pattern: str) -> str:
+    """The pattern with what is before and what is after its first capturing group captured instead."""
+    i, start, depth = 0, -1, 0
     while i < len(pattern):
-        if pattern[i] == "\\":
-            i += 2
-            continue
-        if pattern[i] == "[":
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
             i = pattern.index("]", i + 2)
-        elif pattern[i] == "(" and pattern[i + 1] != "?":
-            return i
+        elif c == "(":
+            if start < 0 and pattern[i + 1] != "?":
+                start, depth = i, 0
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if start >= 0 and depth == 0:
+                return f"({pattern[:start]})(?:{pattern[start + 1 : i]})({pattern[i + 1 :]})"
         i += 1
     raise ValueError("no group")
 

@@ -105,8 +105,9 @@ for _name, _spark_join, _duck_join in (("blocklist_semi_join", "LEFT SEMI", "SEM
 # The blocked names are a list of operators' making, one array: no pairs of rows are formed.
 _add(
     "blocklist_substring",
-    """SELECT input_id FROM {hook_input} WHERE array_contains((SELECT collect_set(tool_name) FROM (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5)), tool_name)
-OR exists((SELECT collect_set(replace(split_part(tool_name, '__', 2), '_', '')) FROM (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5)), x -> contains(tool_input, x))""",
+    """SELECT input_id FROM (SELECT input_id, tool_name, tool_input,
+  (SELECT collect_set(tool_name) FROM (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5)) AS names FROM {hook_input}) AS h
+WHERE array_contains(names, tool_name) OR exists(names, x -> contains(tool_input, replace(split_part(x, '__', 2), '_', '')))""",
     "SELECT DISTINCT h.input_id FROM {hook_input} AS h JOIN (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5) AS b ON contains(h.tool_input, replace(split_part(b.tool_name, '__', 2), '_', '')) OR h.tool_name = b.tool_name",
     tables=("hook_input",),
 )
@@ -143,7 +144,8 @@ _add("tool_pin_changes", _PINS.format(hash=_HASH), _PINS.format(hash=_DUCK_HASH)
 _add("tool_name_collisions", "SELECT name, count(DISTINCT server) AS servers FROM {tool_snapshot} GROUP BY name HAVING count(DISTINCT server) > 1", tables=("tool_snapshot",))
 _add(
     "tool_cross_origin",
-    """SELECT DISTINCT server, name, explode(filter((SELECT collect_set(server) FROM {tool_snapshot}), o -> o <> server AND contains(lower(description), lower(o)))) AS mentions FROM {tool_snapshot}""",
+    """SELECT DISTINCT server, name, explode(filter(servers, o -> o <> server AND contains(lower(description), lower(o)))) AS mentions
+FROM (SELECT server, name, description, (SELECT collect_set(server) FROM {tool_snapshot}) AS servers FROM {tool_snapshot}) AS t""",
     "SELECT DISTINCT t.server, t.name, o.server AS mentions FROM {tool_snapshot} AS t JOIN (SELECT DISTINCT server FROM {tool_snapshot}) AS o ON o.server <> t.server AND contains(lower(t.description), lower(o.server))",
     tables=("tool_snapshot",),
 )

@@ -137,10 +137,8 @@ def secrets_by_label(spark, sf_dir):
 def _mask_sql() -> str:
     out = "raw"
     for label, _, pattern, group in T.SECRETS:
-        if group:
-            at = T._value_group(pattern)
-            pattern = f"({pattern[:at]}){pattern[at:]}"
-        out = f"regexp_replace({out}, {sql_text(re2(pattern))}, {sql_text((chr(92) + '1' if group else '') + f'[REDACTED:{label}]')}, 'g')"
+        used, by = (T.around_value(pattern), rf"\1[REDACTED:{label}]\2") if group else (pattern, f"[REDACTED:{label}]")
+        out = f"regexp_replace({out}, {sql_text(re2(used))}, {sql_text(by)}, 'g')"
     return out
 
 
