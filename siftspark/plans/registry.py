@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import history, layer_queries, report_queries, rule_queries, stream_queries, text_queries
+from siftspark.plans import history, layer_queries, report_queries, rewrite_queries, rule_queries, stream_queries, text_queries
 
-_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries]
+_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries, rewrite_queries]
 
 
 def queries() -> dict:
