@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.operators.rewrite import context_windows, mobiles, sse_events, stripped
 from siftspark.operators.rules import rule_findings
+from siftspark.operators.shell import shell
 from siftspark.session import spread, table
 
 
@@ -31,7 +32,11 @@ def context_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_windows(items.select(F.struct("request_id", "doc_no").alias("item"), "text"), "item", "text").select("item.request_id", "item.doc_no", "window_no", "start", "end", "window")
 
 
-QUERIES = {"sanitize_strip": sanitize_strip, "sse_event_groups": sse_event_groups, "rf_mobiles": rf_mobiles, "context_window_rows": context_window_rows}
+def shell_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shell(spread(table(spark, sf_dir, "scan_document").select("scan_id", "raw", "kind", "source")), "scan_id", "raw")
+
+
+QUERIES = {"shell_findings": shell_findings, "sanitize_strip": sanitize_strip, "sse_event_groups": sse_event_groups, "rf_mobiles": rf_mobiles, "context_window_rows": context_window_rows}
 ORACLE = {
     "context_window_rows": """WITH t AS (SELECT DISTINCT ON (request_id, doc_no) request_id, doc_no, text, length(text) AS n FROM context_document WHERE text IS NOT NULL),
 w AS (SELECT *, unnest(generate_series(0, CASE WHEN n <= 512 THEN 0 ELSE CAST(ceil((n - 512) / 480) AS BIGINT) END)) AS i FROM t)
