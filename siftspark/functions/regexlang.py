@@ -117,7 +117,7 @@ def extract_all(text: Column, pattern: str, group: int = 0, flags: str = "im") -
     return F.regexp_extract_all(text, F.lit(java(pattern, flags)), F.lit(group))
 
 
-def spans(text: Column, pattern: str, flags: str = "im") -> Column:
+def spans(text: Column, pattern: str, flags: str = "im", only: Column | None = None) -> Column:
     """All matches of a pattern that never matches nothing: array of (start, end, match), offsets in UTF-8 bytes.
 
     The matches and the pieces between them alternate, so offsets are running sums of their lengths.
@@ -138,7 +138,8 @@ def spans(text: Column, pattern: str, flags: str = "im") -> Column:
         lambda acc: acc.out,
     )
     # Most texts match nothing and are done after one look.
-    return F.when(matches(text, pattern, flags), folded).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    hit = matches(text, pattern, flags)
+    return F.when(hit if only is None else only & hit, folded).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def sql_text(text: str) -> str:

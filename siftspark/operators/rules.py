@@ -83,6 +83,31 @@ RULES = [
     Rule("R48", "command", "arbitrary_command", 0.7, r"\bcrontab\s+-|\blaunchctl\s+(?:load|bootstrap)\b|\bsystemctl\s+enable\b"),
 ]
 
+#: Texts without any of a rule's anchors (in lower case) can't match it, and are spared its pattern.
+ANCHORS = {
+    "R01": ("ignore",), "R02": ("disregard",), "R03": ("forget",), "R04": ("игнорируй", "забудь", "отмени", "пренебреги"), "R05": ("now", "act", "pretend", "притворись", "теперь"), "R06": ("user",),
+    "R07": ("пользовател",), "R08": ("user",), "R09": ("important", "note", "attention"), "R10": ("важно", "внимание", "заметка"), "R11": ("system", "assistant", "developer", "human"),
+    "R12": ("inst]", "sys>>", "im_start", "im_end"), "R13": ("system", "assistant", "developer"), "R14": ("prompt", "промпт"), "R15": ("system-reminder", "tool_result", "function_", "user-prompt"),
+    "R16": ("must", "should", "will", "shall"), "R17": ("you",), "R18": ("respond", "reply", "answer"), "R19": ("secretly", "silently", "quietly", "covertly"), "R20": ("this",), "R21": ("долж", "обязан"),
+    "R22": ("скрытно", "незаметно", "тайно", "молча"), "R23": ("для",), "R24": ("curl", "wget", "http"), "R25": ("curl", "wget"), "R26": ("scp", "ftp", "rsync", "nc", "netcat"), "R27": ("ssh",), "R28": ("/dev/tcp/",),
+    "R29": ("rm",), "R30": ("shred", "srm", "wipe"), "R31": ("push",), "R32": ("mkfs", "of=/dev/"), "R33": ("openssl", "gpg", "age", "ccrypt", "zip", "7z"), "R34": ("printenv", "env", "echo"), "R35": ("security",),
+    "R36": ("apt", "yum", "dnf", "apk", "brew", "pacman", "zypper"), "R37": ("pip", "npm", "yarn", "gem", "cargo", "go", "poetry", "uv"), "R38": ("add-apt", "/etc/"), "R39": ("config", "goproxy"),
+    "R40": ("pip_", "npm_", "goproxy"), "R41": ("brew",), "R42": ("gpg", "apt-key", "rpm"), "R43": ("update-ca", "security", "certutil"), "R44": ("curl", "no-check-cert", "node_tls", "sslverify"), "R45": ("eval", "exec"),
+    "R46": ("base64",), "R47": ("chmod", "sudo", "doas"), "R48": ("crontab", "launchctl", "systemctl"),
+}
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, with the long s as case folding has it."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def _may_match(rule: Rule, low: Column) -> Column:
+    out = F.lit(False)
+    for anchor in ANCHORS.get(rule.rule_id, ("",)):
+        out = out | F.contains(low, F.lit(anchor))
+    return out
+
 
 def impact(category: Column) -> Column:
     """The level of a category as a number; 0 for unknown ones."""
@@ -98,9 +123,10 @@ def rule_hits(docs: DataFrame, key: str, text: str, rules: list[Rule] = RULES) -
 
     One scan with the patterns as literals (each compiled once a task), without a join with the rules. Null texts have no hits.
     """
-    each = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.rule_set).alias("rule_set"), F.lit(r.category).alias("category"), F.lit(r.confidence).alias("confidence"), regexlang.count(F.col(text), r.pattern).cast("long").alias("hits")) for r in rules]
+    each = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.rule_set).alias("rule_set"), F.lit(r.category).alias("category"), F.lit(r.confidence).alias("confidence"), F.when(_may_match(r, F.col("__low")), regexlang.count(F.col(text), r.pattern)).otherwise(0).cast("long").alias("hits")) for r in rules]
     # Outer, as Spark would else evaluate the array once more to filter empty ones out.
-    return spread(docs).select(key, F.explode_outer(F.filter(F.array(*each), lambda x: x.hits > 0)).alias("r")).where("r IS NOT NULL").select(key, "r.*")
+    lowered = spread(docs).select(key, text, _folded(F.col(text)).alias("__low"))
+    return lowered.select(key, F.explode_outer(F.filter(F.array(*each), lambda x: x.hits > 0)).alias("r")).where("r IS NOT NULL").select(key, "r.*")
 
 
 def rule_findings(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), rules: list[Rule] = RULES) -> DataFrame:
@@ -113,8 +139,9 @@ def rule_findings(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] =
         fixed = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.rule_set).alias("rule_set"), F.lit(r.category).alias("category"), F.lit(r.confidence).alias("confidence")]
         return lambda s: F.struct(*fixed, s.start.alias("start"), s.end.alias("end"), s.match.alias("match"))
 
-    each = F.concat(*[F.transform(regexlang.spans(F.col(text), r.pattern), row(r)) for r in rules])
-    found = spread(docs).select(key, *keep, F.col(text).alias("__text"), F.explode_outer(each).alias("f")).where("f IS NOT NULL").select(key, *keep, "__text", "f.*")
+    each = F.concat(*[F.transform(regexlang.spans(F.col(text), r.pattern, only=_may_match(r, F.col("__low"))), row(r)) for r in rules])
+    lowered = spread(docs).select(key, *keep, text, _folded(F.col(text)).alias("__low"))
+    found = lowered.select(key, *keep, F.col(text).alias("__text"), F.explode_outer(each).alias("f")).where("f IS NOT NULL").select(key, *keep, "__text", "f.*")
     before = F.decode(F.substring(F.encode("__text", "UTF-8"), F.lit(1), F.col("start")), "UTF-8")
     fences = (F.length(before) - F.length(F.replace(before, F.lit("```"), F.lit("")))) / 3
     line_before = F.substring_index(before, "\n", -1)
