@@ -115,7 +115,7 @@ def layers(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFram
     """All layers under the documents' texts: key, depth, chain, start, end, decoded.
 
     ``chain`` lists the encodings from the outermost in, start and end are in the layer above.
-    Null and empty texts have none; layers over the size limit aren't decoded further; equal rows give equal layers each.
+    Null and empty texts have none; decoded layers over the size limit aren't decoded further, the documents' own texts are read whole; equal rows give equal layers each.
     """
     schema = f"__key {docs.schema[key].dataType.simpleString()}, depth int, chain array<string>, start int, end int, decoded string"
 
@@ -123,7 +123,7 @@ def layers(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFram
         for batch in batches:
             rows: list[tuple] = []
             for k, at, chain, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if value and len(value) <= LAYER_BYTES:
+                if value and (at == 0 or len(value) <= LAYER_BYTES):
                     rows += [(k, at + 1, [*chain, e], a, b, d) for e, a, b, d in candidates(value)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (batch.schema.field(0).type, pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string())

@@ -117,12 +117,12 @@ def symbol_ratio(spark, sf_dir):
 
 
 @_query(f"""WITH p AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10) || chr(10))))) AS paragraph, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, paragraph, left(parts[paragraph], 8000) AS x FROM p WHERE paragraph <= 40)
+s AS (SELECT doc_id, paragraph, parts[paragraph] AS x FROM p)
 SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, {_lexical_sql('x')} AS score FROM s WHERE {_lexical_sql('x')} >= 0.8""")
 def paragraph_classifier(spark, sf_dir):
-    """Paragraphs that score as instructions, of the first 40 of a text as the classifier's window is: DET-14."""
-    parts = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.slice(F.split("text", "\n\n", -1), 1, 40)).alias("i", "x"))
-    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("paragraph"), T.lexical_score(F.substring("x", 1, 8000)).alias("score"))
+    """Paragraphs that score as instructions, all of each text: DET-14."""
+    parts = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("i", "x"))
+    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("paragraph"), T.lexical_score(F.col("x")).alias("score"))
     return scored.where("score >= 0.8")
 
 
