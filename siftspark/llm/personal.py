@@ -145,7 +145,7 @@ def _id(text: str, anchor: str, at: int, end: int) -> Span | None:
         if m and not re.match(r"\w|[-/]\d", text[m.end() : m.end() + 2]):
             return ("id", *m.span())
     m = _ID_ANY.match(text, start)
-    if m and _digits(m[0]) >= 6 and len(m[0]) <= 24 and not re.match(r"\w", text[m.end() : m.end() + 1]):
+    if m and not re.match(r"[A-Z]{4}", m[0]) and _digits(m[0]) >= 6 and len(m[0]) <= 24 and not re.match(r"\w", text[m.end() : m.end() + 1]):
         return ("id", *m.span())
     return None
 
@@ -155,10 +155,10 @@ def _id(text: str, anchor: str, at: int, end: int) -> Span | None:
 _EN_TYPES = r"(?:street|st\.|st(?![\w.])|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|close|crescent|terrace|row|court|ct\.?|place|square|boulevard|blvd\.?|way|grove|gardens|hill|mews|parade|walk|highway|hwy\.?)(?!\w)"
 _ADDRESSES = [
     re.compile(rf"(?<![\w.#-])\d{{1,5}}[A-Z]?{_B}+(?:(?:[NSEW]\.|North|South|East|West|NORTH|SOUTH|EAST|WEST){_B}+){{0,2}}(?:[A-Z][\w’'-]*{_B}+){{1,3}}?(?i:{_EN_TYPES})(?!{_B}+(?i:{_EN_TYPES}))"),
-    re.compile(rf"(?<![\w.-])(?:(?:Am|An{_B}der|Auf{_B}der|Alte[rsn]?|Obere[rsn]?|Untere[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?|Hintere[rsn]?|Vordere[rsn]?|Lange[rsn]?|OBERE|UNTERE|ALTE|NEUE){_B}+)*[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|chaussee|damm|ufer|ring|steig|pfad|STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE),?{_B}+\d{{1,4}}(?:{_B}?[a-kA-K](?![\w.]))?(?![\w:])"),
-    re.compile(rf"(?<![\w.-])\d{{1,4}}(?:{_B}?(?:bis|ter|quater))?,?{_B}+(?:rue|avenue|av\.|boulevard|bd\.?|chemin|impasse|allée|place|quai|route|cours|passage|square|sentier|ruelle){_B}+(?:(?:de{_B}la|de{_B}l[’']|des|du|de|d[’'])(?:{_B}+|(?<=[’'])))?[^\W\d_][\w’'-]*(?:{_B}+(?:(?:de|du|des|la|le){_B}+)?[A-ZÀ-Ý][\w’'-]*)*", re.I),
-    re.compile(rf"(?<![\w.-])(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|ronda|travesía|carrera|callejón){_B}*(?:(?:del|de{_B}las|de{_B}los|de{_B}la|de){_B}+)?[^\W\d_][\w’'-]*(?:{_B}+(?:(?:del?|las|los|la|y){_B}+)*[^\W\d_][\w’'-]*){{0,3}}?,?{_B}*(?:(?:n\.º|nº|n°|núm\.|num\.|no\.){_B}*)?\d{{1,4}}(?:{_B}?[a-d](?!\w))?(?!\w)", re.I),
-    re.compile(rf"(?<![\w.-])(?:ул\.|улица|пер\.|переулок|пр-т|просп\.|проспект|пр\.|наб\.|набережная|пл\.|площадь|ш\.|шоссе|б-р|бульвар|бул\.|проезд|тупик|аллея){_B}*[^\W\d_][\w-]*(?:{_B}+[^\W\d_][\w-]*){{0,2}}?,?{_B}*(?:(?:д\.|дом|д){_B}*)?\d{{1,4}}(?:{_B}?[а-е](?!\w))?(?:,?{_B}*(?:к\.|корп\.|стр\.){_B}*\d+)?(?!\w)", re.I),
+    re.compile(rf"(?<![\w.-])(?:(?:Am|An{_B}der|Auf{_B}der|Alte[rsn]?|Obere[rsn]?|Untere[rsn]?|Neue[rsn]?|Große[rsn]?|Kleine[rsn]?|Hintere[rsn]?|Vordere[rsn]?|Lange[rsn]?|OBERE|UNTERE|ALTE|NEUE){_B}+)*[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|chaussee|damm|ufer|ring|steig|pfad|STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE),?{_B}+\d{{1,4}}(?:(?:{_B}?[a-k]|[A-K])(?![\w.]))?(?![\w:])"),
+    re.compile(rf"(?<![\w.-])\d{{1,4}}(?:{_B}?(?:bis|ter|quater))?,?{_B}+(?:rue|avenue|av\.|boulevard|bd\.?|chemin|impasse|allée|place|quai|route|cours|passage|square|sentier|ruelle){_B}+(?:(?:de{_B}la|de{_B}l[’']|des|du|de|d[’'])(?:{_B}+|(?<=[’'])))?[^\W\d_][\w’'-]*(?:(?:{_B}+(?:(?:de|du|des|la|le){_B}+)?(?-i:[A-ZÀ-Ý])[\w’'-]*){{1,2}}(?=\s*(?:[,.;()<\"\n]|$)))?", re.I),
+    re.compile(rf"(?<![\w.-])(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|ronda|travesía|carrera|callejón){_B}*(?:(?:del|de{_B}las|de{_B}los|de{_B}la|de){_B}+)?[^\W\d_][\w’'-]*(?:{_B}+(?:(?:del?|las|los|la|y){_B}+)*[^\W\d_][\w’'-]*){{0,3}}?(?:,{_B}*|{_B}+)(?:(?:n\.º|nº|n°|núm\.|num\.|no\.){_B}*)?\d{{1,4}}(?:{_B}?[a-d](?!\w))?(?!\w)", re.I),
+    re.compile(rf"(?<![\w.-])(?:ул\.|улица|пер\.|переулок|пр-т|просп\.|проспект|пр\.|наб\.|набережная|пл\.|площадь|ш\.|шоссе|б-р|бульвар|бул\.|проезд|тупик|аллея){_B}*[^\W\d_][\w-]*(?:{_B}+[^\W\d_][\w-]*){{0,2}}?,?{_B}*(?:(?:д\.|дом|д){_B}*)?\d{{1,4}}(?:{_B}?(?-i:[а-е])(?!\w))?(?:,?{_B}*(?:к\.|корп\.|стр\.){_B}*\d+)?(?!\w)", re.I),
 ]
 _STREET_WORDS = (
     "street", " st", "road", " rd", "avenue", " ave", " lane", " ln", " drive", " close", "crescent", "terrace", " row", " court", " ct", " place", "square", "boulevard", "blvd", " way", " grove",
@@ -250,6 +250,26 @@ def _family(tokens: list[str]) -> bool:
     return any(len(t) > 1 and not t.endswith(".") for t in tokens)
 
 
+def _name_length(text: str, tokens: list[re.Match], words: list[str], run: int) -> int:
+    """How many of ``run`` capitalised parts are the name, where a sentence may follow it without a sign between."""
+    if run < 3:
+        return run
+    if words[1].count(".") > 1:  # family name and initials
+        return 2
+    at = 1
+    if not _is_initial(words[0]) and _is_initial(words[1]):
+        at = 2
+    particle = words[at].lower() in _PARTICLES
+    length = at + 1 + particle
+    if length < run and not particle and at == 1 and not _is_initial(words[0]):
+        if words[length].lower() in _PARTICLES and length + 1 < run:
+            return length + 2
+        ends = text[tokens[length].end() : tokens[length].end() + 1] in ("", "\n", "\r", "<", '"', ",", ".", ";", ")")
+        if ends or _PATRONYMIC.search(words[1]) or _PATRONYMIC.search(words[length]):
+            length += 1
+    return length
+
+
 def _name_span(text: str, start: int, goes_on: bool) -> tuple[int, int] | None:
     """Where the name that starts at ``start`` ends. ``goes_on``: lower-case words may follow."""
     tokens = _name_tokens(text, start)
@@ -301,13 +321,13 @@ def _name_span(text: str, start: int, goes_on: bool) -> tuple[int, int] | None:
             if shout > 1 and len(words[shout - 1]) == 1:
                 shout -= 1
             run = min(run, shout) if shout > 1 else run
-        if run > 3:
-            run = 4 if any(w.lower() in _PARTICLES for w in words[1:3]) else 3 if goes_on or _is_initial(words[1]) else 2
-        elif run == 3 and not goes_on and following and not _is_initial(words[1]) and words[1].lower() not in _PARTICLES and _capital(following):
-            run = 3 if any(map(_PATRONYMIC.search, words[1:3])) else run
+        if goes_on:
+            run = min(run, 4)
+        else:
+            run = min(run, _name_length(text, tokens, words, run))
     while run and (words[run - 1].lower() in _PARTICLES or (_is_initial(words[run - 1]) and run > 2)):
         run -= 1
-    if run < 2 or not _family(words[:run]) or all(_is_initial(w) for w in words[:run]):
+    if run < 2 or words[0].lower() == "st." or not _family(words[:run]) or all(_is_initial(w) for w in words[:run]):
         return None
     return (start, tokens[run - 1].end())
 

@@ -40,6 +40,14 @@ FOUND = [
     ("Dr. O. Quorne will take", {("name", "O. Quorne")}),
     ("Подпись: Кирилл Олегович Кудеяр", {("name", "Кирилл Олегович Кудеяр")}),
     ("Patient OSKAR ST. AUBREL asked", {("name", "OSKAR ST. AUBREL")}),
+    ("Signed: C. Pellwyn Visita: Plaza", {("name", "C. Pellwyn")}),
+    ("Attn. P. St. Aubrel Contact : x", {("name", "P. St. Aubrel")}),
+    ("Thanks, Theo Theo St. Aubrel\n", {("name", "Theo Theo St. Aubrel")}),
+    ("Thanks, André Bell Call 5", {("name", "André Bell")}),
+    ("Подпись: Кудеяр О. И. Ответственное лицо", {("name", "Кудеяр О. И.")}),
+    ("domicilié 114, rue des Tuiles-Bleues La section 5 explique", {("address", "114, rue des Tuiles-Bleues")}),
+    ("au 5 rue Victor Hugo, Paris", {("address", "5 rue Victor Hugo")}),
+    ("проживает: ул. Кедровая, 97 В отчёте", {("address", "ул. Кедровая, 97")}),
     ("x@y.example, Signed: A. Bell", {("email", "x@y.example"), ("name", "A. Bell")}),
 ]
 CLEAN = [
