@@ -1,6 +1,6 @@
 """Decoding: texts hidden in other texts by encodings, found and decoded layer by layer.
 
-Each layer is one pass of an Arrow operator without a shuffle; the depth is bounded, so the plan is a fixed number of unions.
+All layers of a text come from one pass of an Arrow operator without a shuffle; the depth is bounded.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators.normalize import normalized
+
 # Fixed limits: depth of decoding, bytes of a layer that is decoded further, bytes of a decoded text.
 DEPTH, LAYER_BYTES, DECODED_BYTES = 3, 1 << 20, 4 << 20
 
@@ -111,31 +114,85 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def in_bytes(text: str, offsets: set[int]) -> dict[int, int]:
+    """UTF-8 byte offsets of character offsets."""
+    if text.isascii():
+        return {o: o for o in offsets}
+    out, at, total = {}, 0, 0
+    for o in sorted(offsets):
+        total += len(text[at:o].encode("utf-8", "replace"))
+        out[o], at = total, o
+    return out
+
+
+@dataclass(frozen=True)
+class Layer:
+    """A text under a document: where it is in the layer above and in the document, in characters, its normalised text, and what is encoded in it."""
+
+    depth: int
+    chain: tuple[str, ...]
+    start: int
+    end: int
+    root_start: int
+    root_end: int
+    text: str
+    inside: list[tuple[str, int, int, str]]
+
+
+def unwrapped(text: str | None, depth: int = DEPTH) -> Iterator[Layer]:
+    """The normalised text itself as the layer of depth 0, then all layers under it; each is normalised before it is decoded further."""
+    if not text:
+        return
+    whole = normalized(text)
+    waiting = [(0, (), 0, len(whole), 0, len(whole), whole)]
+    while waiting:
+        at, chain, start, end, root_start, root_end, value = waiting.pop()
+        inside = candidates(value) if at == 0 or len(value) <= LAYER_BYTES else []
+        yield Layer(at, chain, start, end, root_start, root_end, value, inside)
+        if at < depth:
+            for encoding, a, b, decoded in reversed(inside):
+                waiting.append((at + 1, (*chain, encoding), a, b, *((root_start, root_end) if at else (a, b)), normalized(decoded)))
+
+
 def layers(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFrame:
     """All layers under the documents' texts: key, depth, chain, start, end, decoded.
 
-    ``chain`` lists the encodings from the outermost in, start and end are in the layer above.
+    ``chain`` lists the encodings from the outermost in, start and end are in the normalised layer above, ``decoded`` is normalised.
     Null and empty texts have none; decoded layers over the size limit aren't decoded further, the documents' own texts are read whole; equal rows give equal layers each.
     """
     schema = f"__key {docs.schema[key].dataType.simpleString()}, depth int, chain array<string>, start int, end int, decoded string"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for k, at, chain, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if value and (at == 0 or len(value) <= LAYER_BYTES):
-                    rows += [(k, at + 1, [*chain, e], a, b, d) for e, a, b, d in candidates(value)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (batch.schema.field(0).type, pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["__key", "depth", "chain", "start", "end", "decoded"])
-
-    above = docs.select(F.col(key).alias("__key"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain"), F.col(text).alias("value"))
-    out = None
-    for _ in range(depth):
-        found = above.mapInArrow(step, schema)
-        out = found if out is None else out.unionByName(found)
-        above = found.select("__key", "depth", "chain", F.col("decoded").alias("value"))
-    return out.withColumnRenamed("__key", key)
+            names = ["__key", "depth", "chain", "start", "end", "decoded"]
+            rows = ((k, x.depth, list(x.chain), x.start, x.end, x.text) for k, value in zip(*[c.to_pylist() for c in batch.columns], strict=True) for x in unwrapped(value, depth) if x.depth)
+            yield from batched(rows, names, kinds)
+
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("value")).mapInArrow(step, schema).withColumnRenamed("__key", key)
+
+
+#: Characters of text and rows after which a batch is given on.
+_BATCH_CHARS, _BATCH_ROWS = 4 << 20, 10_000
+
+
+def batched(rows: Iterable[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size; the rows' last field is their text."""
+    waiting: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*waiting, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    for row in rows:
+        waiting.append(row)
+        size += len(row[-1] or "")
+        if size >= _BATCH_CHARS or len(waiting) >= _BATCH_ROWS:
+            yield batch()
+            waiting, size = [], 0
+    if waiting:
+        yield batch()
 
 
 # ---- tool results -----------------------------------------------------------------------

@@ -37,8 +37,8 @@ class _Unparsed(ValueError):
     pass
 
 
-def _words(text: str, at: int, stop: str) -> tuple[list[list], int]:
-    """Pipelines from ``at`` to the closing sign ``stop``; each is a list of calls, a call a list of (word, quoted, substitutions)."""
+def _words(text: str, at: int, stop: str, ends: list[int] | None = None) -> tuple[list[list], int]:
+    """Pipelines from ``at`` to the closing sign ``stop``; each is a list of calls, a call a list of (word, quoted, substitutions). ``ends`` gets where each but the last ends."""
     pipelines: list[list] = [[[]]]
     word: list[str] = []
     subs: list = []
@@ -60,6 +60,8 @@ def _words(text: str, at: int, stop: str) -> tuple[list[list], int]:
         end_call()
         if pipelines[-1] != [[]]:
             pipelines.append([[]])
+            if ends is not None:
+                ends.append(at)
 
     while at < len(text):
         c = text[at]
@@ -269,44 +271,63 @@ def _judge(pipelines: list, found: list[tuple[str, float]]) -> None:
                     _judge(inner_pipelines, found)
 
 
-def _snippets(text: str, source: str | None) -> Iterator[tuple[str, bool]]:
-    """(commands, whether they illustrate a text) of a script, of fenced blocks, of prompts, or of lines that begin with a command."""
+def _snippets(text: str, source: str | None) -> Iterator[tuple[str, bool, int]]:
+    """(commands, whether they illustrate a text, offset) of a script, of fenced blocks, of prompts, or of lines that begin with a command."""
     if text.startswith("#!") or (source or "").lower().endswith((".sh", ".bash", ".zsh")):
-        yield text, False
+        yield text, False, 0
         return
     rest, last = [], 0
     for m in re.finditer(r"^```(\w*)[^\n]*\n([\s\S]*?)^```", text, re.M):
-        rest.append(text[last : m.start()])
+        rest.append((last, text[last : m.start()]))
         last = m.end()
         if m[1].lower() in ("", "sh", "bash", "zsh", "shell", "console", "terminal"):
-            yield re.sub(r"(?m)^\$ ", "", m[2]), True
-    rest.append(text[last:])
-    for line in "\n".join(rest).split("\n"):
-        line = line.strip()
-        if line.startswith("$ "):
-            yield line[2:], False
-        elif _LIKELY.search(line):
-            yield line, False
-
-
-def shell_findings(text: str | None, kind: str | None = None, source: str | None = None) -> list[tuple[str, float]]:
-    """(category, confidence) of what the commands in a text do, each once; what can't be parsed gives none. In files, illustrations count half."""
+            yield re.sub(r"(?m)^\$ ", "  ", m[2]), True, m.start(2)
+    rest.append((last, text[last:]))
+    for offset, part in rest:
+        for line in part.split("\n"):
+            at = offset + len(line) - len(line.lstrip())
+            offset += len(line) + 1
+            line = line.strip()
+            if line.startswith("$ "):
+                yield line[2:], False, at + 2
+            elif _LIKELY.search(line):
+                yield line, False, at
+
+
+def shell_spans(text: str | None, kind: str | None = None, source: str | None = None) -> list[tuple[str, float, int, int]]:
+    """(category, confidence, start, end) of what each pipeline in a text does; what can't be parsed gives none. In files, illustrations count half."""
     if not text:
         return []
-    best: dict[str, float] = {}
-    for snippet, docs in _snippets(text, source):
+    out = []
+    for snippet, docs, offset in _snippets(text, source):
         found: list[tuple[str, float]] = []
+        placed: list[tuple[int, int]] = []
+        ends: list[int] = []
         try:
-            _judge(_words(snippet, 0, "")[0], found)
+            last = 0
+            pipelines = _words(snippet, 0, "", ends)[0]
+            for pipeline, end in zip(pipelines, [*ends, len(snippet)], strict=True):
+                _judge([pipeline], found)
+                start = last + len(snippet[last:end]) - len(snippet[last:end].lstrip("\r\n\t ;&"))
+                placed += [(offset + start, offset + start + len(snippet[start:end].rstrip()))] * (len(found) - len(placed))
+                last = end
         except (_Unparsed, RecursionError):
             continue
         plain = re.search(r"http://|https?://\d+\.\d+\.\d+\.\d+", snippet) or any(s in snippet for s in SHORTENERS) or re.search(r"base64\s+(?:-d|--decode)", snippet)
-        for category, confidence in found:
+        for (category, confidence), (start, end) in zip(found, placed, strict=True):
             if category == "remote_exec":
                 confidence = 0.7 if plain else 0.4  # by where the code comes from
             if docs and kind == "file":
                 confidence /= 2
-            best[category] = max(best.get(category, 0), confidence)
+            out.append((category, confidence, start, end))
+    return out
+
+
+def shell_findings(text: str | None, kind: str | None = None, source: str | None = None) -> list[tuple[str, float]]:
+    """(category, confidence) of what the commands in a text do, each once."""
+    best: dict[str, float] = {}
+    for category, confidence, _, _ in shell_spans(text, kind, source):
+        best[category] = max(best.get(category, 0), confidence)
     return sorted(best.items())
 
 
