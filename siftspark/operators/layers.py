@@ -92,6 +92,53 @@ def _decoded(encoding: str, found: str) -> bytes | None:
         return None
 
 
+_LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*+)("?)')
+_STRING_ESCAPE = re.compile(r"\\(?:([abfnrtv\\\"])|x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|([0-7]{3})|[\s\S]?)")
+_SIGNS = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
+_ENTITY = re.compile(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|&[a-zA-Z][a-zA-Z0-9]{1,31};")
+
+
+def _unquoted(body: str) -> bytes | None:
+    """What a quoted literal stands for; null where an escape isn't one of source literals."""
+    out, last = [], 0
+    for m in _STRING_ESCAPE.finditer(body):
+        out.append(body[last : m.start()].encode())
+        last = m.end()
+        sign, x, u, wide, octal = m.groups()
+        if sign:
+            out.append(_SIGNS[sign].encode())
+        elif x or (octal and int(octal, 8) < 256):
+            out.append(bytes([int(x, 16) if x else int(octal, 8)]))
+        elif (u or wide) and (point := int(u or wide, 16)) < 0x110000 and not 0xD800 <= point < 0xE000:
+            out.append(chr(point).encode())
+        else:
+            return None
+    return b"".join([*out, body[last:].encode()])
+
+
+def _literals(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of quoted literals of 16 or more signs with 3 or more backslashes. In one go: where a literal isn't closed on its line, none in it is."""
+    at = text.find('"')
+    while at >= 0:
+        m = _LITERAL.match(text, at)
+        body = m[1]
+        if m[2] and len(re.sub(r"\\.", ".", body)) >= 16:
+            if body.count("\\") >= 3 and (raw := _unquoted(body)) is not None:
+                yield m.start(), m.end(), raw
+            at = text.find('"', m.end())
+        else:
+            at = text.find('"', m.end() - 1 if m[2] else m.end())
+
+
+def _paragraphs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of the paragraphs with an entity, decoded whole."""
+    at = 0
+    for part in text.split("\n\n") if "&" in text else ():
+        if _ENTITY.search(part):
+            yield at, at + len(part), html.unescape(part).encode("utf-8", "replace")
+        at += len(part) + 2
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     """(encoding, start, end, decoded) of each readable text encoded in ``text``; offsets in characters. Overlapping ones are all given."""
     if not text:
@@ -106,6 +153,14 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
             decoded = plausible(raw)
             if decoded is not None and decoded != m[0]:
                 out.append((encoding + packed, m.start(), m.end(), decoded))
+    for encoding, found in (("json", _literals(text)), ("entities-context", _paragraphs(text))):
+        for start, end, raw in found:
+            if len(raw) > DECODED_BYTES:
+                continue
+            raw, packed = _unpacked(raw)
+            decoded = plausible(raw)
+            if decoded is not None and decoded != text[start:end].strip('"' if encoding == "json" else ""):
+                out.append((encoding + packed, start, end, decoded))
     low = text.lower()
     if 40 <= len(text.encode("utf-8", "replace")) <= 65_536 and not any(w in low for w in STOP_WORDS):
         turned = text.translate(_ROT13)
