@@ -3,7 +3,7 @@
 Candidates are quoted strings and long tokens. Each is measured: its alphabet, its Shannon
 entropy and the entropy a random string of its length over that alphabet would have.
 Where nothing around it speaks of a credential, it must come near the latter, and must
-not be a digest, an identifier or an encoded public key. Where its key name, its place in
+not be a digest, an identifier, made of words or an encoded public key. Where its key name, its place in
 an address or its place among arguments does, the threshold is lower, so that passwords
 made by people are found as well. Placeholders, references and masks are never cases.
 """
@@ -25,8 +25,8 @@ REDACTED = "REDACTED"
 
 #: Share of a random string's entropy that a candidate must reach, with and without a context that speaks of a credential.
 IN_CONTEXT, ALONE = 0.5, 0.8
-#: Least length in context and alone; excerpts cut off inside a value show less.
-LEAST_IN_CONTEXT, LEAST_ALONE = 6, 20
+#: Least length in context, quoted and alone; excerpts cut off inside a value show less.
+LEAST_IN_CONTEXT, LEAST_QUOTED, LEAST_ALONE = 6, 12, 20
 #: Excerpts are cut off at this length.
 EXCERPT_CHARS = 120
 
@@ -75,7 +75,13 @@ _KNOWN = re.compile(
 )
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----[ \t\r]*\n(?:[ \t]*[A-Za-z-]+:[^\n]*\n|[ \t\r]*\n){0,8}[ \t]*(?P<first>[A-Za-z0-9+/=_-]+)(?P<rest>(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/=_-]+(?![A-Za-z0-9+/=_ -]*-----))*)")
 _BLOCK = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]+)-----(?:(?!-----)[\s\S])*(?:-----END (?P=kind)-----|\Z)")
-_LONG = re.compile(rf"(?<![\w+/=.:-])[A-Za-z0-9+/_-]{{{LEAST_ALONE},}}={{0,2}}(?![\w+/=-])")
+_LONG = re.compile(rf"(?<![\w+/-])[A-Za-z0-9+/_-]{{{LEAST_ALONE},}}={{0,2}}(?![\w+/=-])")
+_QUOTED = re.compile(r"([\"'`])((?:(?!\1)\S)++)\1")
+
+# Pairs of letters that make up most of English and of names in code; about one in six pairs of random letters is among them.
+_PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui ck ap ag ac bo pi qu up ub if ey og od ue ug oc av da do".split()
+)
 
 _PLACEHOLDER = re.compile(
     r"(?i)^[<{\[(]|^\$[\w{(]|^%\w*[%(]|^![a-z]+$|^[@&][a-z_.]+$|^[x*•.·_#?-]+$|\$\{|\$\(|\{\{|%\(|\bredacted|^your[\s_-]|_here$|^<|change[_-]?me|^(?:todo|none|null|nil|true|false|undefined|example|placeholder|dummy|secret|password|test)$|"
@@ -137,18 +143,51 @@ def _in_context(value: str, bare: bool, cut: bool) -> bool:
     return _kinds(value) >= 2 and credible(value, IN_CONTEXT)
 
 
+def _changes(text: str) -> float:
+    """Share of neighbours that are of different kinds: lower case, upper case, digits, signs."""
+    kinds = [(c.islower(), c.isupper(), c.isdigit()) for c in text]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(text) - 1)  # noqa: B905
+
+
+def _spelled(text: str) -> bool:
+    """Whether a text is made of words or abbreviations: its pairs of letters are those of words, or most of it is in pieces of one kind."""
+    low = text.lower()
+    pairs = [a + b for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]  # noqa: B905
+    if len(pairs) >= 3 and sum(p in _PAIRS for p in pairs) > 0.42 * len(pairs):
+        return True
+    pieces = [p for p in re.split(r"[^A-Za-z0-9]+", text) if p]
+    return len(pieces) > 1 and sum(len(p) for p in pieces if re.fullmatch(r"[A-Z]?[a-z]+\d{0,2}|[A-Z]+\d{0,2}|\d+", p)) >= 0.5 * sum(map(len, pieces))
+
+
 def _alone(text: str, start: int, value: str) -> bool:
-    """Whether a long token is a credential without any context."""
+    """Whether a quoted string or a long token is a credential without any context."""
     core = value.rstrip("=")
-    if _HEX.fullmatch(core) or _UUID.fullmatch(core) or not (any(c.isdigit() for c in core) and any(c.islower() for c in core) and any(c.isupper() for c in core)):
+    digits = len(re.findall(r"\d+", core))
+    if len(core) < LEAST_QUOTED or (not digits and len(core) < LEAST_ALONE):
+        return False
+    if _HEX.fullmatch(core) or _UUID.fullmatch(core) or not core.isascii() or not any(c.isalpha() for c in core):
+        return False
+    if _PLACEHOLDER.search(value) or _WORDS.fullmatch(core) or _PATH.fullmatch(core) or re.search(r"://|^[\w.-]+@[\w-]+\.|\\", core):
         return False
     if "/" in core and _kinds(core.replace("/", "")) < 3:
         return False
     if re.fullmatch(r"(?:[A-Za-z]*\d*[-_/])*[A-Za-z]+\d*", core) or _PUBLIC_BEFORE.search(text[max(0, start - 40) : start]) or core.startswith("AAAA"):
         return False
+    if alphabet_of(core) == 94 and (_REFERENCE.search(core) or _kinds(core) < 4):
+        return False
+    lower, upper = any(map(str.islower, core)), any(map(str.isupper, core))
+    if not (lower and upper) and (digits < (2 if len(core) >= LEAST_ALONE else 3) or not core.isalnum()):
+        return False
+    if not digits and _changes(core) < 0.4:
+        return False
+    # Long tokens of three kinds that stand free aren't words; all others must not be spelled like them.
+    free = text[start - 1 : start] not in ("=", ":", ".")
+    if not (lower and upper and digits and free and len(core) >= LEAST_ALONE) and (_changes(core) < 0.12 or _spelled(core)):
+        return False
     if _encodes_text(value):
         return False
-    return credible(core, ALONE) and entropy(core) > 3.5
+    least = 3.5 if len(core) >= LEAST_ALONE else 3.0
+    return credible(core, ALONE) and entropy(core) > least
 
 
 def _encodes_text(value: str) -> bool:
@@ -192,6 +231,9 @@ def _spans(text: str, cut: bool) -> Iterator[tuple[int, int, int]]:
     for m in _LONG.finditer(text):
         if outside(m.start()) and _alone(text, m.start(), m[0]):
             yield (3, m.start(), m.end())
+    for m in _QUOTED.finditer(text):
+        if outside(m.start()) and _alone(text, m.start(2), m[2]):
+            yield (3, m.start(2), m.end(2))
 
 
 def find_credentials(text: str | None, excerpt: bool = False) -> list[tuple[int, int]]:

@@ -116,3 +116,30 @@ def test_rows(spark):
     assert got == [(1, 2, "tr0ub4dor&3X"), (1, 3, "tr0ub4dor&3X"), (None, 1, "Blue-Sky_77")]
     assert credentials(df.limit(0), "scan_id", "raw").count() == 0
     assert [r[0] for r in df.where("scan_id = 2").select(redacted(df.raw)).collect()] == [None]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'x9 = "p@9X!vT#4mZ$q1Lw&8Rb"', "STRIPE=9fK2xQ7vLm3Zt8Wp1Rb6Yd4H", "a: 9fK2xQ7vLm3Zt8Wp1Rb6Yd4H", "x.9fK2xQ7vLm3Zt8Wp1Rb6Yd4H", 'v = "k3xQ9zT7mW2p"',
+        'v = "x7k2mq9w4zj5vb8tn1ch"', 'v = "KZ7QXW3MJ5VRH2TFBX4CPD6GYNQ2LJ7A"', "v = x7k2mq9w4zj5vb8tn1ch",
+    ],
+)
+def test_found_without_a_context(text):
+    (a, b), = find_credentials(text)
+    assert b - a >= 12 and not set(text[a:b]) & set("'\" =")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["login=Astrid-Marchetto-Vale+X7", 'x = "getUserNameFromRequest2"', 'x = "v1beta2alpha3"', 'x = "utf8mb4_general_ci"', 'x = "%Y-%m-%dT%H:%M:%SZ"', 'x = "application/vnd.api+json"', "x=com.example.service2.Handler3", 'x = "https://a.example/B7x9Q2"', "it's a thing, isn't it", '"' * 100_000, "'a" * 50_000],
+)
+def test_words_forms_and_addresses_are_no_credentials(text):
+    assert find_credentials(text) == []
+
+
+def test_random_tokens_are_found_in_every_alphabet():
+    rng = random.Random(5)
+    for alphabet, n, least in ((string.ascii_lowercase + string.digits, 24, 0.85), (string.ascii_uppercase + "234567", 32, 0.85), (string.ascii_letters + string.digits + "!#$%&*@^-_", 20, 0.85), (string.ascii_letters + string.digits, 14, 0.7)):
+        found = sum(bool(find_credentials(f'x9 = "{"".join(rng.choices(alphabet, k=n))}"')) for _ in range(200))
+        assert found >= least * 200
