@@ -1,11 +1,13 @@
 """Credentials in source code and configuration, found and redacted.
 
-Candidates are quoted strings and long tokens. Each is measured: its alphabet, its Shannon
+Candidates are quoted strings and tokens. Each is measured, whatever way it came in: its alphabet, its Shannon
 entropy and the entropy a random string of its length over that alphabet would have.
 Where nothing around it speaks of a credential, it must come near the latter, and must
 not be a digest, an identifier, made of words or an encoded public key. Where its key name, its place in
-an address or its place among arguments does, the threshold is lower, so that passwords
+an address, its place among arguments or its issuer's prefix does, the threshold is lower, so that passwords
 made by people are found as well. Placeholders, references and masks are never cases.
+
+Nothing is left out for its length: keys, users and commands before a value may be of any, and so may texts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +26,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 REDACTED = "REDACTED"
 
-#: Share of a random string's entropy that a candidate must reach, with and without a context that speaks of a credential.
-IN_CONTEXT, ALONE = 0.5, 0.8
+#: Share of a random string's entropy that a candidate must reach: after an issuer's prefix, in a context that speaks of a credential, and without any.
+MARKED, IN_CONTEXT, ALONE = 0.3, 0.5, 0.8
 #: Least length in context, quoted and alone; excerpts cut off inside a value show less.
 LEAST_IN_CONTEXT, LEAST_QUOTED, LEAST_ALONE = 6, 12, 20
 #: Excerpts are cut off at this length.
@@ -35,45 +38,55 @@ _TERM = (
     r"(?:pass(?:word|wort|wd|phrase|code)|(?<![A-Za-z])pass|(?<=[a-z])Pass|pwd|(?<![A-Za-z])pw|kennwort|contrase(?:ñ|n)a|parole|пароль|secret|token|credential|(?<![A-Za-z])creds?|"
     r"authorization|(?<![A-Za-z])auth|api[_-]?key|(?<=[_-])key|(?<=[a-z])Key|(?<![\w-])keys?|(?<![A-Za-z])sig|signature)s?"
 )
-_KEY = rf"(?:[A-Za-zА-я_][\w.-]{{0,60}}?)?(?:{_TERM})(?![\w-])"
+_KEY = rf"(?:(?<![0-9])[A-Za-zА-я_][\w.-]*?)?(?:{_TERM})(?![\w-])"
 _VALUE = r"""(?:\[\]\w+\{\s*)?(?:(?P<q>["'`])(?P<in>(?:(?!(?P=q))[^\n])*)|(?P<bare>[^\s"'`<>,;]+))"""
 
-_PAIR = r"""["'`][\w.@-]{1,60}["'`]\s*,\s*(?P<q>["'`])(?P<in>(?:(?!(?P=q))[^\n])*)"""
+_PAIR = r"""["'`][\w.@-]+["'`]\s*,\s*(?P<q>["'`])(?P<in>(?:(?!(?P=q))[^\n])*)"""
 
+# Places that speak of a credential, after the signs (in lower case) without any of which a text has no such place.
 _CONTEXTS = [
     # key = value in any spelling: assignment, mapping, call argument, list of flags, comment about an old value
-    re.compile(rf"(?i:(?<![A-Za-z0-9_.$?&])(?P<key>{_KEY})[\"'`]?\]?(?:\s*:\s*(?:str|string|String))?[ \t]*(?:=>|:=|=|:|,(?=\s*[\"'`])|[ ]was(?=[ ]))[ \t]*){_VALUE}"),
+    ((), re.compile(rf"(?i:(?<![\w.$?&-])-*(?P<key>{_KEY})[\"'`]?\]?(?:\s*:\s*(?:str|string|String))?[ \t]*(?:=>|:=|=|:|,(?=\s*[\"'`])|[ ]was(?=[ ]))[ \t]*){_VALUE}")),
     # a mapping entry named by the line before
-    re.compile(rf"(?i:name:[ \t]*[\"']?(?P<key>{_KEY})[\"']?[ \t\r]*\n[ \t]*value:[ \t]*){_VALUE}"),
+    (("name:",), re.compile(rf"(?i:name:[ \t]*[\"']?(?P<key>{_KEY})[\"']?[ \t\r]*\n[ \t]*value:[ \t]*){_VALUE}")),
     # elements and attributes
-    re.compile(rf"<(?i:(?P<key>(?:[\w.]+:)?{_KEY}))(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?(?P<bare>[^<>\n]+?)(?=\]\]>|</|\s*$)"),
-    re.compile(rf"(?i:\b(?:key|name|id|property)=[\"'](?P<key>{_KEY})[\"']\s+value=){_VALUE}"),
+    (("<",), re.compile(rf"<(?i:(?P<key>(?:[\w.]+:)?{_KEY}))(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?(?P<bare>[^<>\n]+?)(?=\]\]>|</|\s*$)")),
+    (("value=",), re.compile(rf"(?i:\b(?:key|name|id|property)=[\"'](?P<key>{_KEY})[\"']\s+value=){_VALUE}")),
     # flags and words followed by a value
-    re.compile(rf"(?i:(?<!\S)--?(?P<key>{_KEY})[ \t]+){_VALUE}"),
-    re.compile(rf"(?i:(?<=\s)(?P<key>login\s+\S+\s+password|identified\s+by|password(?=\s+[\"']))\s+){_VALUE}"),
-    re.compile(r"(?:^|(?<=\s))(?P<key>(?:mysql|mysqldump|mariadb)\b[^\n|;&]{0,200}?\s-p)(?P<bare>[^\s\"'-][^\s\"']*)"),
-    re.compile(rf"(?:^|(?<=\s))(?P<key>sshpass\s+-p\s*){_VALUE}"),
+    (("-",), re.compile(rf"(?i:(?<!\S)--?(?P<key>{_KEY})[ \t]+){_VALUE}")),
+    (("login", "identified", "password"), re.compile(rf"(?i:(?<=\s)(?P<key>login\s+\S+\s+password|identified\s+by|password(?=\s+[\"']))\s+){_VALUE}")),
+    (("mysql", "mariadb"), re.compile(r"(?:^|(?<=\s))(?P<key>(?:mysql|mysqldump|mariadb)\b(?:(?!\s(?:mysql|mariadb))[^\n|;&])*?\s-p)(?P<bare>[^\s\"'-][^\s\"']*)")),
+    (("sshpass",), re.compile(rf"(?:^|(?<=\s))(?P<key>sshpass\s+-p\s*){_VALUE}")),
     # user and password of an address
-    re.compile(r"(?P<key>://[^\s/:@\"'`<>]{1,80}):(?P<bare>[^\s@\"'`<>]+?)(?=@|\Z)"),
-    re.compile(r"(?P<key>:thin:[^\s/:@\"'`<>]{1,80})/(?P<bare>[^\s@\"'`<>]+?)(?=@|\Z)"),
-    re.compile(r"(?P<key>(?<=[\"'`])[\w.-]{1,60}):(?P<bare>[^\s@\"'`<>/]+?)(?=@(?:tcp|unix|udp)?\()"),
-    re.compile(r"(?P<key>(?:\s-u|--user)[ =]?[\"']?[\w.@-]{1,60}):(?P<bare>[^\s\"']+)"),
-    re.compile(rf"(?P<key>[?&;](?i:{_KEY}))=(?P<bare>[^\s\"'`<>&;#]+)"),
+    (("://",), re.compile(r"(?P<key>://[^\s/:@\"'`<>]+):(?P<bare>[^\s@\"'`<>]+?)(?=@|\Z)")),
+    ((":thin:",), re.compile(r"(?P<key>:thin:[^\s/:@\"'`<>]+)/(?P<bare>[^\s@\"'`<>]+?)(?=@|\Z)")),
+    (("@",), re.compile(r"(?P<key>(?<=[\"'`])[\w.-]+):(?P<bare>[^\s@\"'`<>/]+?)(?=@(?:tcp|unix|udp)?\()")),
+    (("-u",), re.compile(r"(?P<key>(?:\s-u|(?<!\S)--user)[ =]?[\"']?[\w.@-]+):(?P<bare>[^\s\"']+)")),
+    (("?", "&", ";"), re.compile(rf"(?P<key>[?&;](?i:{_KEY}))=(?P<bare>[^\s\"'`<>&;#]+)")),
     # authentication schemes
-    re.compile(r"(?P<key>(?i:\b(?:bearer|basic|token|apikey)))[ \t]+(?P<bare>[A-Za-z0-9+/=._~!*%^?#-]{6,})"),
+    (("bearer", "basic", "token", "apikey"), re.compile(r"(?P<key>(?i:\b(?:bearer|basic|token|apikey)))[ \t]+(?P<bare>[A-Za-z0-9+/=._~!*%^?#-]{6,})")),
     # places among arguments: what is after a user name, what signs, what logs in
-    re.compile(rf"(?P<key>(?i:\b\w*(?:login|connect|auth|signin|credentials?)\w*\s*=?\s*\())\s*{_PAIR}"),
-    re.compile(rf"(?P<key>[:=\[(,]\s*\((?=\s*[\"'`][a-z]+_))\s*{_PAIR}"),
-    re.compile(r"(?P<key>(?i:\bsign\w*\.?\w*\([^\n\"'`]{0,60},\s*))(?P<q>[\"'`])(?P<in>(?:(?!(?P=q))[^\n])*)"),
-    re.compile(r"(?P<key>\b(?:echo|printf)\s+)(?P<q>[\"'])(?P<in>(?:(?!(?P=q))[^\n])*)(?=[\"']\s*\|[^\n]*(?i:login|stdin|passw))"),
+    (("login", "connect", "auth", "signin", "credential"), re.compile(rf"(?P<key>(?i:(?<!\w)\w*(?:login|connect|auth|signin|credentials?)\w*\s*=?\s*\())\s*{_PAIR}")),
+    (("(",), re.compile(rf"(?P<key>[:=\[(,]\s*\((?=\s*[\"'`][a-z]+_))\s*{_PAIR}")),
+    (("sign",), re.compile(r"(?P<key>(?i:\bsign\w*\.?\w*\((?:(?!\bsign)[^\n\"'`])*,\s*))(?P<q>[\"'`])(?P<in>(?:(?!(?P=q))[^\n])*)")),
+    (("echo", "printf"), re.compile(r"(?P<key>\b(?:echo|printf)\s+)(?P<q>[\"'])(?P<in>(?:(?!(?P=q))[^\n])*)(?=[\"']\s*\|[^\n]*(?i:login|stdin|passw))")),
 ]
+# Without any of these, in lower case, a text has no key name.
+_TERM_SIGNS = ("pass", "pwd", "pw", "kennwort", "contrase", "parole", "пароль", "secret", "token", "cred", "auth", "key", "sig")
+_KEYED = frozenset(p for _, p in _CONTEXTS if _TERM in p.pattern)
 
-#: Forms that are credentials wherever they stand.
+#: Forms by which issuers mark their tokens: a place that speaks of a credential, as a key name is.
 _KNOWN = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[\w-]{30,}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprse]-[\w-]{20,}|"
     r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[\w-]{20,}|hf_[A-Za-z0-9]{20,}|npm_[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?![A-Za-z0-9])"
 )
-_PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----[ \t\r]*\n(?:[ \t]*[A-Za-z-]+:[^\n]*\n|[ \t\r]*\n){0,8}[ \t]*(?P<first>[A-Za-z0-9+/=_-]+)(?P<rest>(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/=_-]+(?![A-Za-z0-9+/=_ -]*-----))*)")
+# A line end as it stands, or as it is written in a literal of JSON or source code.
+_END = r"(?:[ \t]*\r?\n|[ \t]*(?:\\r)?\\n)"
+_PRIVATE_KEY = re.compile(
+    rf"-----BEGIN (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY(?: BLOCK)?-----{_END}(?:[ \t]*[A-Za-z-]+:(?:(?!\\n|\n)[\s\S])*{_END}|{_END})*[ \t]*(?P<first>[A-Za-z0-9+/=_-]+)"
+    rf"(?P<rest>(?:{_END}[ \t]*[A-Za-z0-9+/=_-]+(?![A-Za-z0-9+/=_ -]*-----))*)"
+)
+_BODY_LINE = re.compile(rf"{_END}[ \t]*([A-Za-z0-9+/=_-]+)")
 _BLOCK = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]+)-----(?:(?!-----)[\s\S])*(?:-----END (?P=kind)-----|\Z)")
 _LONG = re.compile(rf"(?<![\w+/-])[A-Za-z0-9+/_-]{{{LEAST_ALONE},}}={{0,2}}(?![\w+/=-])")
 _QUOTED = re.compile(r"([\"'`])((?:(?!\1)\S)++)\1")
@@ -136,8 +149,8 @@ def _in_context(value: str, bare: bool, cut: bool) -> bool:
         return False
     if any(c.isspace() for c in value) or (bare and _REFERENCE.search(value)):
         return False
-    if cut:
-        return True
+    if cut:  # what is visible of it
+        return credible(value, IN_CONTEXT)
     if len(value) < LEAST_IN_CONTEXT or _WORDS.fullmatch(value.strip(".,!?:;")) or _PATH.fullmatch(value):
         return False
     return _kinds(value) >= 2 and credible(value, IN_CONTEXT)
@@ -199,17 +212,35 @@ def _encodes_text(value: str) -> bool:
         return False
 
 
+_PREFIX = re.compile(r"(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprse]-|[sr]k_(?:live|test)_|sk-|hf_|npm_)?")
+
+
+def _random(body: str) -> bool:
+    """Whether what follows an issuer's prefix, or a key's opening line, is random; masks aren't."""
+    return len(set(body)) >= 4 and credible(body, MARKED)
+
+
 def _spans(text: str, cut: bool) -> Iterator[tuple[int, int, int]]:
     """(priority, start, end) of each candidate that is a credential."""
     end_of_text = len(text)
     blocks = [(m.start(), m.end()) for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    outside = lambda at: not any(a <= at < b for a, b in blocks)
+    starts = [a for a, _ in blocks]
+
+    def outside(at: int) -> bool:
+        i = bisect_right(starts, at) - 1
+        return i < 0 or at >= blocks[i][1]
+
     for m in _PRIVATE_KEY.finditer(text) if blocks else ():
-        yield (0, m.start("first"), m.end("first"))
+        if _random(m["first"]) or (cut and m.end("first") == end_of_text):
+            yield (0, m.start("first"), m.end("first"))
     for m in _KNOWN.finditer(text):
-        if outside(m.start()):
+        if outside(m.start()) and _random(m[0][_PREFIX.match(m[0]).end() :]):
             yield (1, m.start(), m.end())
-    for pattern in _CONTEXTS:
+    low = text.lower()
+    keyed = any(s in low for s in _TERM_SIGNS)
+    for signs, pattern in _CONTEXTS:
+        if (signs and not any(s in low for s in signs)) or (not keyed and pattern in _KEYED):
+            continue
         for m in pattern.finditer(text):
             groups = m.groupdict()
             bare = groups.get("in") is None
@@ -236,21 +267,27 @@ def _spans(text: str, cut: bool) -> Iterator[tuple[int, int, int]]:
             yield (3, m.start(2), m.end(2))
 
 
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of (priority, start, end) those that overlap none of an earlier priority, or of an earlier start; in order."""
+    taken: list[tuple[int, int]] = []
+    for _, start, end in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        i = bisect_right(taken, (start, end))
+        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            insort(taken, (start, end))
+    return taken
+
+
 def find_credentials(text: str | None, excerpt: bool = False) -> list[tuple[int, int]]:
     """Spans of the credentials in ``text``, in order and without overlap.
 
     In an excerpt, a backslash before n stands for a line end, and a value that reaches the
-    cut is taken as far as it is visible. A private key is given by its first body line.
+    cut is taken as far as it is visible. A private key is given by its first body line, whether its
+    line ends stand as they are or are written as escapes.
     """
     if not text:
         return []
-    cut = excerpt and len(text) >= EXCERPT_CHARS
     seen = text.replace("\\n", " \n") if excerpt else text
-    taken: list[tuple[int, int]] = []
-    for _, start, end in sorted(_spans(seen, cut), key=lambda s: (s[0], s[1], -s[2])):
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-    return sorted(taken)
+    return apart(list(_spans(seen, excerpt and len(text) >= EXCERPT_CHARS)))
 
 
 def redact(text: str | None, excerpt: bool = False) -> str | None:
@@ -261,7 +298,7 @@ def redact(text: str | None, excerpt: bool = False) -> str | None:
     seen = text.replace("\\n", " \n") if excerpt else text
     for m in _PRIVATE_KEY.finditer(seen) if "PRIVATE KEY" in seen else ():
         at = m.start("rest")
-        spans += [(at + line.start(), at + line.end()) for line in re.finditer(r"[A-Za-z0-9+/=_-]+", m["rest"])]
+        spans += [(at + line.start(1), at + line.end(1)) for line in _BODY_LINE.finditer(m["rest"])]
     out, last = [], 0
     for start, end in sorted(spans):
         out += [text[last:start], REDACTED]
@@ -273,7 +310,12 @@ _FOUND = ArrayType(StructType([StructField("line_no", LongType()), StructField("
 
 
 def _found(text: str | None, excerpt: bool) -> list[dict]:
-    return [{"line_no": 1 if excerpt else text.count("\n", 0, a) + 1, "found": text[a:b]} for a, b in find_credentials(text, excerpt)]
+    out, line, seen = [], 1, 0
+    for a, b in find_credentials(text, excerpt):
+        if not excerpt:
+            line, seen = line + text.count("\n", seen, a), a
+        out.append({"line_no": line, "found": text[a:b]})
+    return out
 
 
 @F.arrow_udf(_FOUND)
