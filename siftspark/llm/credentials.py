@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import math
 import re
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from siftspark.llm.spans import apart
+
 REDACTED = "REDACTED"
 
 #: Share of a random string's entropy that a candidate must reach: after an issuer's prefix, in a context that speaks of a credential, and without any.
@@ -267,16 +269,6 @@ def _spans(text: str, cut: bool) -> Iterator[tuple[int, int, int]]:
             yield (3, m.start(2), m.end(2))
 
 
-def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Of (priority, start, end) those that overlap none of an earlier priority, or of an earlier start; in order."""
-    taken: list[tuple[int, int]] = []
-    for _, start, end in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
-        i = bisect_right(taken, (start, end))
-        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
-            insort(taken, (start, end))
-    return taken
-
-
 def find_credentials(text: str | None, excerpt: bool = False) -> list[tuple[int, int]]:
     """Spans of the credentials in ``text``, in order and without overlap.
 
@@ -287,7 +279,7 @@ def find_credentials(text: str | None, excerpt: bool = False) -> list[tuple[int,
     if not text:
         return []
     seen = text.replace("\\n", " \n") if excerpt else text
-    return apart(list(_spans(seen, excerpt and len(text) >= EXCERPT_CHARS)))
+    return [(start, end) for _, start, end in apart(_spans(seen, excerpt and len(text) >= EXCERPT_CHARS))]
 
 
 def redact(text: str | None, excerpt: bool = False) -> str | None:

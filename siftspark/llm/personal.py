@@ -1,19 +1,22 @@
 """Personal information in free text, found by anchors and replaced by typed placeholders.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs and their disguises, words
-that announce a number, an identity document or a name, and words for streets. A parser
+An Aho-Corasick automaton finds anchors in one pass: at-signs and their disguises, signs and digits a telephone
+number begins with, words that announce a number, an identity document or a name, given names, and words for streets. A parser
 of the anchor's kind then reads the text around it, finds where the value begins and ends,
-and checks its form. Nothing is learned; equal texts give equal results.
+and checks its form. Nothing is learned; equal texts give equal results. Parsers read as far as a value goes, and the
+time is linear in the text's length.
 
 Values of JSON texts are read as decoded strings, each with its key as further context, and
-are replaced in place, so that all else stays as it was written.
+are replaced in place, so that all else stays as it was written. Keys and numbers of JSON aren't values
+and aren't looked at.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from siftspark.llm.spans import apart
+
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Of values that overlap, the kind named first is kept.
 ORDER = ("email", "id", "phone", "address", "name")
@@ -30,32 +35,46 @@ Span = tuple[str, int, int]
 # ---- e-mail addresses -------------------------------------------------------------------
 
 _AT = ("@", "＠", "%40", "(at)", "[at]", " at ")
-_LOCAL = re.compile(r"[\w.+'-]*[\w+]\s?$")
 _DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 _SPELT = {
     "(at)": re.compile(r"\s?([\w-]+(?:\s?(?:\(dot\)|\.)\s?[\w-]+)+)", re.I),
     "[at]": re.compile(r"\s?([\w-]+(?:\s?(?:\[dot\]|\.)\s?[\w-]+)+)", re.I),
     " at ": re.compile(r"([\w-]+(?: dot [\w-]+)+)", re.I),
 }
-_MACHINE_BEFORE = re.compile(r"(?i)(?:://\S*|[:/]|\b(?:ssh|scp|sftp|rsync|clone|mosh)\s+(?:-\S+\s+)*)$")
+_SCHEME = re.compile(r"://\S*")
+_REMOTE = re.compile(r"\b(?:ssh|scp|sftp|rsync|clone|mosh)\s+(?:-\S+\s+)*", re.I)
 _MACHINE_USERS = {"git", "svn", "hg", "root"}
 
 
+@lru_cache(1)
+def _machines(text: str) -> tuple[list[int], list[int], frozenset[int]]:
+    """Starts and ends of addresses with a scheme, and where the targets of remote commands begin."""
+    schemes = [m.span() for m in _SCHEME.finditer(text)] if "://" in text else []
+    return [a for a, _ in schemes], [b for _, b in schemes], frozenset(m.end() for m in _REMOTE.finditer(text))
+
+
+def _of_machine(text: str, start: int) -> bool:
+    if text[start - 1 : start] in (":", "/"):
+        return True
+    starts, ends, targets = _machines(text)
+    i = bisect_left(starts, start) - 1
+    return start in targets or (i >= 0 and start <= ends[i])
+
+
 def _email(text: str, anchor: str, at: int, end: int) -> Span | None:
-    before = _LOCAL.search(text, max(0, at - 80), at)
-    if not before:
+    stop = at - 1 if text[at - 1 : at].isspace() else at
+    start = stop
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.+'-"):
+        start -= 1
+    if start == stop or not (text[stop - 1].isalnum() or text[stop - 1] in "_+") or (anchor == "%40" and text[start:at].endswith("%")):
         return None
-    if anchor == "%40" and before[0].endswith("%"):
-        return None
-    start = before.start()
     while start < at and text[start] in ".'-+":
         start += 1
     domain = _SPELT[anchor].match(text, end) if anchor in _SPELT else _DOMAIN.match(text, end)
     if not domain or start >= at:
         return None
     local = text[start:at].strip().lower()
-    lead = text[max(0, start - 120) : start]
-    if local in _MACHINE_USERS or (_MACHINE_BEFORE.search(lead) and not lead.lower().endswith("mailto:")) or lead.endswith("@"):
+    if local in _MACHINE_USERS or text[start - 1 : start] == "@" or (text[max(0, start - 7) : start].lower() != "mailto:" and _of_machine(text, start)):
         return None
     stop = domain.end()
     if re.match(r":[\w/~]|/\w", text[stop : stop + 2]) or text[stop : stop + 1] in ("@", "("):
@@ -87,6 +106,9 @@ _PHONE_CUES = (
     "tel", "tél", "phone", "fax", "mobile", "mobil", "cell", "call", "rang twice from", "caller left", "ring back", "móvil", "movil", "llamar al", "teléfono",
     "rückruf unter", "erreichbar", "rufnummer", "rappeler au", "joignable au", "portable", "тел", "моб", "перезвонить", "звонить", "номер", "contact", "whatsapp",
 )
+#: Words for telephones: what they announce needs no sign in it.
+_TELEPHONE = ("tel", "tél", "phone", "fax", "mobile", "mobil", "handy", "móvil", "movil", "teléfono", "rufnummer", "тел", "моб", "whatsapp")
+_PHONE_STARTS = ("+", "(", *"0123456789")
 _PHONE_KEYS = re.compile(r"(?i)^(?:.*[_-])?(?:contact|callback|reach|phone|tel|telephone|mobile|cell|fax|line\d?|call|number)$")
 
 
@@ -94,14 +116,26 @@ def _digits(text: str) -> int:
     return sum(c.isdigit() for c in text)
 
 
+def _phone_here(text: str, anchor: str, at: int, end: int) -> Span | None:
+    """A number whose form says that it is one."""
+    if at and (text[at - 1].isdigit() or (anchor != "(" and text[at - 1] in "(+")) and not text.startswith("((", at - 1):
+        return None
+    m = _SURE.match(text, at)
+    return ("phone", *m.span()) if m and 9 <= _digits(m[0]) <= 15 else None
+
+
 def _phone(text: str, anchor: str, at: int, end: int) -> Span | None:
+    """A number that is announced. Behind a word for telephones it needs no form but its length."""
     if at and text[at - 1].isalnum():
         return None
     rest = re.compile(r"[^\W\d_]*").match(text, end).end()
     m = _ANNOUNCED.match(text, rest)
-    if not m or not 8 <= _digits(m[1]) <= 15:
+    telephone = anchor in _TELEPHONE
+    if not m or not (7 if telephone else 8) <= _digits(m[1]) <= 15 or re.match(r"\d{4}-\d\d-\d\d|(?:19|20)\d\d[01]\d[0-3]\d$", m[1]):
         return None
-    if not re.search(rf"{_S}|^\+|[()]", m[1]) or re.match(r"\d{4}-\d\d-\d\d", m[1]) or any(p.fullmatch(m[1]) for p in _ID_SHAPES if not _SURE.fullmatch(m[1])):
+    if telephone and rest == end:
+        return ("phone", *m.span(1))
+    if not re.search(rf"{_S}|^\+|[()]", m[1]) or any(p.fullmatch(m[1]) for p in _ID_SHAPES if not _SURE.fullmatch(m[1])):
         return None
     return ("phone", *m.span(1))
 
@@ -160,12 +194,14 @@ _ADDRESSES = [
     re.compile(rf"(?<![\w.-])(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|pº|camino|ronda|travesía|carrera|callejón){_B}*(?:(?:del|de{_B}las|de{_B}los|de{_B}la|de){_B}+)?[^\W\d_][\w’'-]*(?:{_B}+(?:(?:del?|las|los|la|y){_B}+)*[^\W\d_][\w’'-]*){{0,3}}?(?:,{_B}*|{_B}+)(?:(?:n\.º|nº|n°|núm\.|num\.|no\.){_B}*)?\d{{1,4}}(?:{_B}?[a-d](?!\w))?(?!\w)", re.I),
     re.compile(rf"(?<![\w.-])(?:ул\.|улица|пер\.|переулок|пр-т|просп\.|проспект|пр\.|наб\.|набережная|пл\.|площадь|ш\.|шоссе|б-р|бульвар|бул\.|проезд|тупик|аллея){_B}*[^\W\d_][\w-]*(?:{_B}+[^\W\d_][\w-]*){{0,2}}?,?{_B}*(?:(?:д\.|дом|д){_B}*)?\d{{1,4}}(?:{_B}?(?-i:[а-е])(?!\w))?(?:,?{_B}*(?:к\.|корп\.|стр\.){_B}*\d+)?(?!\w)", re.I),
 ]
+#: Words for streets, in the order of the patterns above.
 _STREET_WORDS = (
-    "street", " st", "road", " rd", "avenue", " ave", " lane", " ln", " drive", " close", "crescent", "terrace", " row", " court", " ct", " place", "square", "boulevard", "blvd", " way", " grove",
-    "gardens", " hill", " mews", "parade", " walk", "highway", "hwy", "straße", "strasse", "str.", "gasse", "weg ", "weg,", "platz ", "platz,", "allee", "chaussee", "damm ", "ufer ", "ring ", "steig ", "pfad ",
-    "rue ", " av. ", " bd ", " bd. ", "chemin ", "impasse ", "allée ", "place ", "quai ", "route ", "cours ", "passage ", "sentier ", "ruelle ",
-    "calle", "c/", "avenida", "avda", "av. ", "plaza", "pza", "paseo", "pº", "camino", "ronda", "travesía", "carrera", "callejón",
-    "ул.", "улица", "пер.", "переулок", "пр-т", "просп", "пр. ", "наб.", "набережная", "пл.", "площадь", "ш. ", "шоссе", "б-р", "бульвар", "бул.", "проезд", "тупик", "аллея",
+    ("street", " st", "road", " rd", "avenue", " ave", " lane", " ln", " drive", " close", "crescent", "terrace", " row", " court", " ct", " place", "square", "boulevard", "blvd", " way", " grove",
+     "gardens", " hill", " mews", "parade", " walk", "highway", "hwy"),
+    ("straße", "strasse", "str.", "gasse", "weg ", "weg,", "platz ", "platz,", "allee", "chaussee", "damm ", "damm,", "ufer ", "ufer,", "ring ", "ring,", "steig ", "steig,", "pfad ", "pfad,"),
+    ("rue ", "avenue ", " av. ", " bd ", " bd. ", "boulevard ", "chemin ", "impasse ", "allée ", "place ", "quai ", "route ", "cours ", "passage ", "square ", "sentier ", "ruelle "),
+    ("calle", "c/", "avenida", "avda", "av. ", "plaza", "pza", "paseo", "pº", "camino", "ronda", "travesía", "carrera", "callejón"),
+    ("ул.", "улица", "пер.", "переулок", "пр-т", "просп", "пр. ", "наб.", "набережная", "пл.", "площадь", "ш. ", "шоссе", "б-р", "бульвар", "бул.", "проезд", "тупик", "аллея"),
 )
 _ADDRESS_CUES = (
     "lives at", "living at", "moved from", "ship to", "site visit:", "parcel goes to", "address:", "deliver to", "resides at", "wohnhaft", "einsatzort:", "lieferung nach", "anschrift:", "adresse:", "adresse :",
@@ -178,13 +214,10 @@ _PLAIN_ADDRESSES = [
 _ADDRESS_KEYS = re.compile(r"(?i)^(?:.*[_-])?(?:line\d?|site|deliver_to|place|address|addr|street|location|ship_to)$")
 
 
-def _address_near(text: str, anchor: str, at: int, end: int) -> Span | None:
-    low, high = max(0, at - 60), min(len(text), end + 80)
-    for pattern in _ADDRESSES:
-        for m in pattern.finditer(text, low, high):
-            if m.start() <= at + 1 and m.end() >= end - 1:
-                return ("address", *m.span())
-    return None
+def _addresses_of_line(text: str, which: int, start: int, end: int) -> Iterator[Span]:
+    """The addresses of one line that has a word for streets."""
+    for m in _ADDRESSES[which].finditer(text, start, end):
+        yield ("address", *m.span())
 
 
 def _address_announced(text: str, anchor: str, at: int, end: int) -> Span | None:
@@ -195,7 +228,7 @@ def _address_announced(text: str, anchor: str, at: int, end: int) -> Span | None
         if m := pattern.match(text, start):
             return ("address", *m.span())
     for pattern in _PLAIN_ADDRESSES:
-        if (m := pattern.match(text, start)) and m.end(1) - m.start(1) <= 60:
+        if m := pattern.match(text, start):
             return ("address", *m.span(1))
     return None
 
@@ -210,7 +243,7 @@ _PARTICLES = {"von", "van", "de", "der", "den", "du", "del", "della", "di", "da"
 #: What comes after these ends with a name, and the sentence goes on.
 _NAME_INSIDE = (
     "spoke with ", "filled in by ", "patient ", "requested by ", "dr. ", "dr ", "mr. ", "mrs. ", "ms. ", "prof. ", "mr ", "mrs ", "ms ", "j’ai parlé avec ", "j'ai parlé avec ", "rücksprache mit ", "demande de ", "solicitud de ", "antrag von ",
-    "la sra. ", "el sr. ", "sra. ", "sr. ", "frau ", "herr ", "herrn ", "hablé con ", "mme ", "mme. ", "monsieur ", "madame ", "mlle ", "met with ", "talked to ", "on behalf of ", "говорили с клиентом, это ", "г-жа ", "г-н ", "господин ", "госпожа ",
+    "la sra. ", "el sr. ", "sra. ", "sr. ", "frau ", "herr ", "herrn ", "hablé con ", "mme ", "mme. ", "monsieur ", "madame ", "mlle ", "met with ", "talked to ", "on behalf of ", "my name is ", "i am ", "this is ", "ask for ", "contact ", "dear ", "sincerely yours, ", "je m'appelle ", "je m’appelle ", "me llamo ", "mi nombre es ", "ich heiße ", "mein name ist ", "меня зовут ", "говорили с клиентом, это ", "г-жа ", "г-н ", "господин ", "госпожа ",
 )
 #: What comes after these is a name at the end of a line.
 _NAME_AFTER = ("signed:", "attn.", "attn:", "thanks,", "regards,", "gez.", "firmado:", "signé :", "signé:", "подпись:", "заявку подал(а)", "заявку подал", "ответственное лицо —", "ответственное лицо -", "atentamente,", "cordialement,", "gezeichnet", "name:", "nombre:", "nom :", "имя:", "фио:")
@@ -332,6 +365,36 @@ def _name_span(text: str, start: int, goes_on: bool) -> tuple[int, int] | None:
     return (start, tokens[run - 1].end())
 
 
+#: Given names that are anchors by themselves: common ones of the corpus's languages, in Russian in the nominative. A parameter of :func:`find_personal`'s automaton, not a list of all people.
+GIVEN_NAMES = (
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark steven paul andrew kevin brian george edward peter henry jack adam simon alan "
+    "mary patricia jennifer linda elizabeth susan jessica sarah karen nancy lisa margaret sandra emily emma olivia anna laura julia maria alice helen rachel hannah "
+    "hans jürgen klaus wolfgang stefan uwe jörg matthias sabine petra monika ursula heike katrin birgit jean pierre michel philippe nicolas françois luc marie nathalie sophie isabelle camille "
+    "juan carlos luis miguel antonio javier pedro pablo carmen ana isabel lucía elena rosa "
+    "александр алексей андрей анна антон борис вадим виктор владимир галина дмитрий евгений екатерина елена иван игорь илья ирина людмила марина мария михаил наталья николай оксана олег ольга павел пётр светлана сергей татьяна юлия юрий"
+).split()
+#: What after two capitals shows that they name a place, a firm or a thing.
+_NOT_PEOPLE = set(
+    "street road avenue lane drive square park university college school institute hospital church cathedral library museum award prize foundation inc ltd llc gmbh ag corp company bank airport station "
+    "river lake mount island bridge effect theorem law equation method test act day week project cup stadium building tower memorial gallery hotel house hall center centre".split()
+)
+
+
+def _named(text: str, anchor: str, at: int, end: int) -> Span | None:
+    """A given name with a family name behind it: both capitalised, and not part of the name of a place or a thing."""
+    if (at and (text[at - 1].isalnum() or text[at - 1] in "_-@./\\'’")) or not text[at].isupper() or text[end : end + 1] not in (" ", "\u00a0"):
+        return None
+    span = _name_span(text, at, False)
+    if not span:
+        return None
+    words = text[span[0] : span[1]].split()
+    following = re.compile(rf"{_B}*([^\W\d_]*)").match(text, span[1])[1].lower()
+    before = re.compile(rf"([^\W\d_]+){_B}$").search(text, max(0, at - 40), at)
+    if following in _NOT_PEOPLE or any(w.lower() in _NOT_PEOPLE for w in words) or (before and before[1].lower() in ("saint", "st", "san", "santa", "mount", "port", "lake", "fort")):
+        return None
+    return ("name", *span)
+
+
 _TITLES = re.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herr|Herrn|Sra|Sr|Mme|M|Ing)\.?\s+)*")
 
 
@@ -368,15 +431,17 @@ _WHOLE_NAME = re.compile(rf"(?:{_TOKEN.pattern})(?:,?{_B}(?:{_TOKEN.pattern})){{
 def _automaton():
     import ahocorasick
 
-    found: dict[str, list[tuple[str, Callable]]] = {}
+    found: dict[str, list[tuple[str, Callable | int]]] = {}
     for words, parser in (
         (_AT, _email),
-        (_PHONE_CUES, _phone),
+        (_PHONE_STARTS, _phone_here),
+        (tuple(dict.fromkeys((*_PHONE_CUES, *_TELEPHONE))), _phone),
         (_ID_CUES, _id),
-        (_STREET_WORDS, _address_near),
+        *((words, which) for which, words in enumerate(_STREET_WORDS)),
         (_ADDRESS_CUES, _address_announced),
         (_NAME_INSIDE, _name_inside),
         (_NAME_AFTER, _name_after),
+        (GIVEN_NAMES, _named),
     ):
         for word in words:
             found.setdefault(word, []).append((word, parser))
@@ -397,22 +462,23 @@ def find_personal(text: str | None, key: str | None = None) -> list[Span]:
     if not text:
         return []
     spans: set[Span] = set()
-    for last, parsers in _automaton().iter(_lower(text.replace(" ", " "))):
+    read = [0] * len(_ADDRESSES)  # how far lines have been read for addresses
+    for last, parsers in _automaton().iter(_lower(text.replace("\u00a0", " "))):
         for word, parser in parsers:
-            span = parser(text, word, last + 1 - len(word), last + 1)
+            at = last + 1 - len(word)
+            if not callable(parser):
+                if at >= read[parser]:
+                    start = text.rfind("\n", read[parser], at) + 1 or read[parser]
+                    end = text.find("\n", at + 1)
+                    read[parser] = len(text) if end < 0 else end
+                    spans.update(_addresses_of_line(text, parser, start, read[parser]))
+                continue
+            span = parser(text, word, at, last + 1)
             if span:
                 spans.add(span)
-    if any(c.isdigit() for c in text):
-        for m in _SURE.finditer(text):
-            if 9 <= _digits(m[0]) <= 15:
-                spans.add(("phone", *m.span()))
     if key:
         spans |= _whole(text, re.sub(r"(?:_(?:old|new|\d+))+$", "", key))
-    taken: list[Span] = []
-    for span in sorted(spans, key=lambda s: (ORDER.index(s[0]), s[1], -s[2])):
-        if all(span[2] <= a or b <= span[1] for _, a, b in taken):
-            taken.append(span)
-    return sorted(taken, key=lambda s: s[1])
+    return [(ORDER[kind], start, end) for kind, start, end in apart((ORDER.index(kind), start, end) for kind, start, end in spans)]
 
 
 def _whole(text: str, key: str) -> set[Span]:
@@ -429,7 +495,7 @@ def _whole(text: str, key: str) -> set[Span]:
             m = pattern.match(value)
             if m and m.end() == len(value):
                 return {("address", *span)}
-    if _NAME_KEYS.match(key) and _WHOLE_NAME.fullmatch(value) and len(value) <= 60:
+    if _NAME_KEYS.match(key) and _WHOLE_NAME.fullmatch(value):
         return {("name", *span)}
     return set()
 

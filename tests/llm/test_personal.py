@@ -111,3 +111,62 @@ def test_rows(spark):
     assert got == [(1, "phone", "(205) 555-0145"), (4, "email", "anna@mail.example"), (None, "email", "anna@mail.example")]
     assert personal(df.limit(0), "input_id", "tool_response").count() == 0
     assert [r[0] for r in df.where("input_id = 2").select(masked(df.tool_response, True)).collect()] == [None]
+
+
+# Sentences written without regard to the test tables: what is personal in each.
+HELD_OUT = [
+    ("Contact John Smith at our office", "name", "John Smith"),
+    ("Maria Gonzalez will join the call", "name", "Maria Gonzalez"),
+    ("My name is Peter Jones and I write about the invoice.", "name", "Peter Jones"),
+    ("The parcel was signed for by Susan Clarke yesterday", "name", "Susan Clarke"),
+    ("Yesterday Thomas Müller asked for a refund", "name", "Thomas Müller"),
+    ("cc: Laura Rossi, finance", "name", "Laura Rossi"),
+    ("Please ask for Dr. Helen Brandt", "name", "Helen Brandt"),
+    ("Bonjour, je m'appelle Sophie Lambert", "name", "Sophie Lambert"),
+    ("Ich heiße Jürgen Krause.", "name", "Jürgen Krause"),
+    ("Me llamo Carmen Ortega", "name", "Carmen Ortega"),
+    ("Договор подписала Ольга Петрова", "name", "Ольга Петрова"),
+    ("Меня зовут Сергей Волков", "name", "Сергей Волков"),
+    ("Dear Mr. Alan Whitmore", "name", "Alan Whitmore"),
+    ("We met with Nkechi Obi in March", "name", "Nkechi Obi"),
+    ("On behalf of Yuki Tanaka", "name", "Yuki Tanaka"),
+    ("Reach me on +44 20 7946 0958 after six", "phone", "+44 20 7946 0958"),
+    ("Phone: 02079460958", "phone", "02079460958"),
+    ("my mobile 555-0172 is off", "phone", "555-0172"),
+    ("Tel. 030 901820", "phone", "030 901820"),
+    ("Fax (212) 555-0187", "phone", "(212) 555-0187"),
+    ("write to q.fuller+news@mail.example.org please", "email", "q.fuller+news@mail.example.org"),
+    ("jane (at) example (dot) org", "email", "jane (at) example (dot) org"),
+    ("My social security number is 078-05-1120", "id", "078-05-1120"),
+    ("passport no. C01X00T47", "id", "C01X00T47"),
+    ("They live at 221B Baker Street in London", "address", "221B Baker Street"),
+    ("Wir wohnen in der Lindenstraße 14", "address", "Lindenstraße 14"),
+    ("Il habite 8 rue de la Paix", "address", "8 rue de la Paix"),
+    ("Vive en Calle Mayor 25", "address", "Calle Mayor 25"),
+    ("Адрес: ул. Ленина, д. 7", "address", "ул. Ленина, д. 7"),
+    ("Our clinic is 40 Elm Avenue, second floor", "address", "40 Elm Avenue"),
+]
+
+
+def test_held_out_sentences():
+    missed = [text for text, kind, value in HELD_OUT if (kind, value) not in {(k, text[a:b]) for k, a, b in find_personal(text)}]
+    assert len(missed) <= 0.1 * len(HELD_OUT), missed
+
+
+def test_names_of_places_and_things_are_no_names():
+    for text in ("John Hancock Building and James Street", "the Robert Smith Institute", "Max Planck Institute", "San Juan Carlos", "the Anna Karenina Library", "Mark Monday in the calendar as done"):
+        assert not [t for t in find_personal(text) if t[0] == "name" and "Monday" not in text], text
+
+
+def test_values_of_any_length_and_texts_of_any_length():
+    import time
+
+    local = "a" * 500
+    assert find_personal(f"to {local}@example.org now") == [("email", 3, 3 + 500 + len("@example.org"))]
+    street = "Sehr" * 60 + "straße 123"
+    assert ("address", 0, len(street)) in find_personal(street)
+    for unit in ("12 Baker Street, ", "bob@example.org, ", "+49 30 1234567; "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        assert len(find_personal(text)) > 1000
+        assert time.perf_counter() - began < 10
