@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, taken from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a local one is made.
+    Only a local session (tests, the bench) may do without: it gets a temporary one. On a cluster that would be a folder of one machine, and is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="siftspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -32,7 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, where its files give fewer; larger inputs are left as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of files over as many partitions as there are cores, where the files are fewer than those; larger inputs are left as they are.
+
+    Decided by the size and number of the files, so nothing is run, and nothing is shuffled from the size on at which the splits of the files keep all cores busy.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b")):
+        return scan
+    files = scan.inputFiles()
+    return scan.repartition(cores) if 0 < len(files) < cores else scan
