@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.llm.encode import encode_corpus
 from siftspark.llm.mix import mixture, shares, sized_documents
-from siftspark.session import table
+from siftspark.session import spread, table
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "ids")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "source_target"))
+    return mixture(sized_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), table(spark, sf_dir, "source_target"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "source_target")
-    return shares(mixture(sized_documents(table(spark, sf_dir, "documents")), targets), targets)
+    return shares(mixture(sized_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), targets), targets)
 
 
 QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares}

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm.credentials import credentials, redacted
-from siftspark.session import table
+from siftspark.session import spread, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for tab, key, text, excerpt in (("scan_document", "scan_id", "raw", False), ("finding", "finding_id", "excerpt", True)):
-        found = credentials(table(spark, sf_dir, tab), key, text, excerpt)
+        found = credentials(spread(table(spark, sf_dir, tab).select(key, text)), key, text, excerpt)
         parts.append(found.select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), "line_no", "found"))
     return parts[0].unionByName(parts[1])
 

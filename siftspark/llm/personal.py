@@ -164,7 +164,7 @@ _ID_CUES = (
     "driver's licence", "driving licence", "driver license", "ausweisnummer", "personalausweis", "ausweis", "reisepass", "steuer-id", "steuernummer", "sozialversicherungsnummer", "dni", "nie", "nif",
     "pasaporte", "numéro de sécurité sociale", "sécurité sociale", "carte d’identité", "carte d'identité", "passeport", "n° de passeport", "паспорт", "снилс", "инн", "удостоверение личности",
 )
-_ID_LEAD = re.compile(r"(?:[^\W\d_]{0,2}(?![^\W\d_]))?(?:\s+(?:no|nr|number|nummer|num|número|numéro|номер|физлица|серия|code|n°|№)\b\.?)*\.?\s*[:#№=]?\s*", re.I)
+_ID_LEAD = re.compile(r"(?:[^\W\d_]{0,2}(?![^\W\d_]))?(?:\s+(?:no|nr|number|nummer|num|número|numéro|номер|физлица|серия|code|n°|№)\b\.?)*\.?\s*(?:(?:is|ist|lautet|est|es)\s+)?[:#№=]?\s*", re.I)
 _ID_KEYS = re.compile(r"(?i)^(?:.*[_-])?(?:doc_no|reference|checked_with|ssn|passport|id_no|id_number|national_id|tax_id|document|identity|dni|snils|inn)$")
 
 

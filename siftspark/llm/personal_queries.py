@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm.personal import masked, personal
-from siftspark.session import table
+from siftspark.session import spread, table
 
 _FIELDS = (("hook_input", "input_id", "tool_response", True), ("scan_document", "scan_id", "raw", False))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
-        personal(table(spark, sf_dir, tab), key, text, as_json).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), "kind", "found")
+        personal(spread(table(spark, sf_dir, tab).select(key, text)), key, text, as_json).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), "kind", "found")
         for tab, key, text, as_json in _FIELDS
     ]
     return parts[0].unionByName(parts[1])

@@ -21,7 +21,7 @@ def p8_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_composition(subject_mixtures(*_inputs(spark, sf_dir)))
+    return corpus_composition(subject_mixtures(*_inputs(spark, sf_dir), least=0.0))
 
 
 QUERIES = {"p8_found": p8_found, "p8_mixtures": p8_mixtures, "p8_composition": p8_composition}

@@ -9,7 +9,10 @@ weights is the subject's share in what the document says.
 
 Terms are hashed into a fixed number of columns, so a profile's size doesn't depend on the
 data: it is summed up by column blocks in a distributed reduction, made on the driver and
-broadcast (12 MB for 10 subjects). Rows never leave the executors.
+broadcast (12 MB for 10 subjects, 64 MB for the most there may be). Rows never leave the executors.
+
+In each pass over the matrix a bounded number of tasks (a multiple of the cores, not of the data) add up their
+rows, and send the blocks of columns they have touched, sparse where they are; so what is shuffled doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import log
 from zlib import crc32
 
@@ -27,12 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from siftspark.session import cut_lineage
+from siftspark.session import cut_lineage, spread
 
 #: Columns of the matrix.
 COLUMNS = 1 << 18
-#: Columns in a block of the reduction.
-BLOCK = 1 << 12
+#: Columns in a block of the reduction, which is also the most reducers there are: COLUMNS / BLOCK.
+BLOCK = 1 << 9
+#: Tasks of a pass for each core: more partitions are read by one task one after the other.
+TASKS = 4
+#: The most subjects: profiles are COLUMNS x (subjects + 1) floats in each worker.
+MOST_SUBJECTS = 60
 #: The anchors are fitted on about so many labelled documents at most, chosen by a hash of their ids.
 MOST_LABELLED = 200_000
 #: A term marks a subject if so large a part of its occurrences by label, at equal numbers of documents, is there.
@@ -43,36 +51,51 @@ OPEN = 0.03
 LEAST_SHARE = 0.3
 #: Least subject matter of a document, in words and as a part of all its words.
 LEAST_WORDS, LEAST_PART = 2.0, 0.02
-#: Alternations between the factors, and updates of the weights in each.
-ROUNDS, UPDATES = 3, 15
+#: Alternations between the factors, and the most updates of the weights in each; they end where no weight changes by more than STILL.
+ROUNDS, UPDATES, STILL = 3, 30, 2e-3
 #: Occurrences of a term in a text that count in full.
 LINEAR = 8
 #: Matrix entries in memory at a time.
 CHUNK = 200_000
 
-_WORD = re.compile(r"(?<![\w])[^\W\d_]{2,40}(?![\w])")
+_WORD = re.compile(r"(?<![\w])[^\W\d_]{2,}(?![\w])")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_FENCE = re.compile(r"^```[^\n]*\n[\s\S]*?^```[^\n]*$", re.M)
+#: Scripts written without blanks: their terms are pairs of neighbours.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]{2,}")
+_FORMAT = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cf")
+
+
+@lru_cache(1 << 18)
+def _column(word: str) -> int:
+    return crc32(word.encode("utf-8", "replace")) % COLUMNS
 
 
 def terms(text: str | None) -> dict[int, float]:
-    """Column and count of each term of ``text``; counts beyond ``LINEAR`` grow by their logarithm, so that no single text makes a profile. Fenced code in a text that is mostly prose illustrates it and isn't counted."""
+    """Column and count of each term of ``text``: words of two letters or more, and pairs of neighbours in scripts without blanks.
+
+    Counts beyond ``LINEAR`` grow by their logarithm, so that no single text makes a profile.
+    """
     if not text:
         return {}
-    if "```" in text:
-        prose = _FENCE.sub("\n", text)
-        if len(prose) >= len(text) / 2:
-            text = prose
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        if any(unicodedata.category(c) == "Cf" for c in set(text)):
-            text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    words = Counter(_WORD.findall(text.lower()))
+    if text.isascii():
+        words = Counter(_WORD.findall(text.lower()))
+    else:
+        text = unicodedata.normalize("NFKC", text).lower()
+        signs = set(text)
+        if not signs.isdisjoint(_FORMAT):
+            text = "".join(c for c in text if c not in _FORMAT)
+        pairs: list[str] = []
+        if max(signs) >= "\u0e00" and _UNSPACED.search(text):
+            runs = _UNSPACED.findall(text)
+            pairs = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+            text = _UNSPACED.sub(" ", text)
+        words = Counter(_WORD.findall(text))
+        words.update(pairs)
     out: dict[int, float] = {}
     for word, n in words.items():
-        column = crc32(word.encode("utf-8", "replace")) % COLUMNS
+        column = _column(word)
         out[column] = out.get(column, 0) + (n if n <= LINEAR else LINEAR * (1 + log(n / LINEAR)))
     return out
 
@@ -111,26 +134,52 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         first = last
 
 
-def _weights(profiles: np.ndarray, rows: int, row: np.ndarray, columns: np.ndarray, counts: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of each row by multiplicative updates, and the profile of each entry."""
-    k = profiles.shape[1]
-    weights = np.full((rows, k), 1.0 / k, np.float32)
+def _weights(profiles: np.ndarray, rows: int, row: np.ndarray, columns: np.ndarray, counts: np.ndarray, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each row by multiplicative updates until they stand still, and the profile of each entry.
+
+    Terms of no subject say nothing but their number: they are counted once and not in each update.
+    """
+    k = profiles.shape[1] - 1
+    weights = np.full((rows, k + 1), 1.0 / (k + 1), np.float32)
     entry = profiles[columns]
-    if len(columns):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        present = row[starts]
-        for _ in range(updates):
-            fitted = np.einsum("ek,ek->e", entry, weights[row]) + np.float32(1e-20)
-            gain = np.add.reduceat(entry * (counts / fitted)[:, None], starts, axis=0)
-            new = weights[present] * gain
-            weights[present] = new / np.maximum(new.sum(1, keepdims=True), np.float32(1e-20))
+    if not len(columns):
+        return weights, entry
+    tells = entry[:, :k].any(1)
+    plain = np.bincount(row[~tells], counts[~tells] * (entry[~tells, k] > 0), rows).astype(np.float32)
+    own, told, given = row[tells], entry[tells], counts[tells]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+    present = own[starts] if len(own) else np.zeros(0, int)
+    silent = np.ones(rows, bool)
+    silent[present] = False
+    weights[silent & (plain > 0)] = np.eye(k + 1, dtype=np.float32)[k]
+    busy = np.arange(len(present))  # rows that still change
+    take, local = np.arange(len(own)), np.repeat(np.arange(len(present)), np.diff(np.r_[starts, len(own)]))
+    for _ in range(updates if len(own) else 0):
+        rows_now = present[busy]
+        w = weights[rows_now]
+        e, c = told[take], given[take]
+        fitted = np.einsum("ek,ek->e", e, w[local]) + np.float32(1e-20)
+        first = np.flatnonzero(np.r_[True, local[1:] != local[:-1]])
+        new = w * np.add.reduceat(e * (c / fitted)[:, None], first, axis=0)
+        new[:, k] += plain[rows_now]
+        new /= np.maximum(new.sum(1, keepdims=True), np.float32(1e-20))
+        weights[rows_now] = new
+        moving = np.abs(new - w).max(1) > STILL
+        if not moving.any():
+            break
+        if not moving.all():
+            kept = moving[local]
+            take = take[kept]
+            renumber = np.cumsum(moving) - 1
+            local = renumber[local[kept]]
+            busy = busy[moving]
     return weights, entry
 
 
 def _summed(matrix: DataFrame, width: int, part: Callable) -> np.ndarray:
     """Sum over all rows of what ``part`` gives for each entry: an array (COLUMNS, width).
 
-    Each task adds up its rows and emits the blocks it has touched; blocks are added up by a
+    A bounded number of tasks add up their rows and emit the blocks of columns they have touched; blocks are added up by a
     shuffle, and the driver gets one row for each block, however many rows the matrix has.
     """
 
@@ -144,24 +193,30 @@ def _summed(matrix: DataFrame, width: int, part: Callable) -> np.ndarray:
                     total[:, j] += np.bincount(columns, values[:, j], COLUMNS)
                 touched[np.unique(columns // BLOCK)] = True
         blocks = np.flatnonzero(touched)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["block", "sums"]
-        )
+        for b in blocks:
+            sums = total[b * BLOCK : (b + 1) * BLOCK].astype(np.float32)
+            places = np.flatnonzero(sums.any(1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b], pa.int32()), pa.array([places.tobytes()], pa.binary()), pa.array([sums[places].tobytes()], pa.binary())], names=["block", "places", "sums"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(s.as_buffer(), np.float32).astype(np.float64)
-                held[b] = held[b] + values if b in held else values
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in held.values()], pa.binary())], names=["block", "sums"]
-        )
-
-    schema = "block int, sums binary"
+            for b, places, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                block = held.setdefault(b, np.zeros((BLOCK, width), np.float64))
+                block[np.frombuffer(places.as_buffer(), np.int32)] += np.frombuffer(s.as_buffer(), np.float32).reshape(-1, width)
+        for b, block in held.items():
+            places = np.flatnonzero(block.any(1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b], pa.int32()), pa.array([places.tobytes()], pa.binary()), pa.array([block[places].astype(np.float32).tobytes()], pa.binary())], names=["block", "places", "sums"]
+            )
+
+    schema = "block int, places binary, sums binary"
     out = np.zeros((COLUMNS, width), np.float32)
-    for r in matrix.mapInArrow(partial, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.sums), np.float32).reshape(BLOCK, width)
+    tasks = TASKS * matrix.sparkSession.sparkContext.defaultParallelism
+    for r in matrix.coalesce(tasks).mapInArrow(partial, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+        out[r.block * BLOCK + np.frombuffer(bytes(r.places), np.int32)] = np.frombuffer(bytes(r.sums), np.float32).reshape(-1, width)
     return out
 
 
@@ -186,8 +241,8 @@ def _normalised(profiles: np.ndarray) -> np.ndarray:
     return (profiles / np.maximum(profiles.sum(0, keepdims=True), 1e-20)).astype(np.float32)
 
 
-def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """For each document and subject with a share in it: doc_id, subject, share, words.
+def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS, least: float = 0.01) -> DataFrame:
+    """For each document and subject with a share over ``least`` in it: doc_id, subject, share, words.
 
     ``share`` is the subject's part in the document's subject matter, ``words`` how many of its
     words (counted as in :func:`terms`) that matter makes up. Null, empty and blank texts, and texts without terms, give no
@@ -196,9 +251,9 @@ def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFram
     in part; repeated documents give repeated rows; further columns are ignored.
     """
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(1001).collect())
-    if len(names) > 1000:
-        raise ValueError("more than 1000 subjects")
+    names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     k = len(names)
     schema = "doc_id long, subject string, share double, words double"
     if not k:
@@ -209,8 +264,8 @@ def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFram
     count = own.count()
     if count > MOST_LABELLED:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MOST_LABELLED / count))
-    rows = documents.select("doc_id", _matrix_row(F.col("text")).alias("row")).select("doc_id", "row.columns", "row.counts").where(F.size("columns") > 0)
-    matrix = cut_lineage(rows.join(own, "doc_id", "left"))
+    rows = spread(documents.select("doc_id", "text")).select("doc_id", _matrix_row(F.col("text")).alias("row")).select("doc_id", "row.columns", "row.counts").where(F.size("columns") > 0)
+    matrix = cut_lineage(rows.join(F.broadcast(own), "doc_id", "left"))  # at most about MOST_LABELLED rows
 
     def by_label(batch, first, last, row, columns, counts):
         given = batch.column("labels").slice(first, last - first).to_pylist()
@@ -232,7 +287,7 @@ def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFram
         sent = spark.sparkContext.broadcast(profiles)
 
         def attributed(batch, first, last, row, columns, counts, sent=sent):
-            weights, entry = _weights(sent.value, last - first, row, columns, counts, UPDATES)
+            weights, entry = _weights(sent.value, last - first, row, columns, counts)
             joint = entry * weights[row]
             return joint * (counts / (joint.sum(1) + np.float32(1e-20)))[:, None]
 
@@ -245,11 +300,11 @@ def subject_mixtures(documents: DataFrame, labels: DataFrame, subjects: DataFram
         for batch in batches:
             ids = batch.column("doc_id")
             for first, last, row, columns, counts in _chunks(batch):
-                weights, _ = _weights(final.value, last - first, row, columns, counts, 2 * UPDATES)
+                weights, _ = _weights(final.value, last - first, row, columns, counts)
                 words = np.bincount(row, counts, last - first)
                 matter = weights[:, :k].sum(1)
                 share = weights[:, :k] / np.maximum(matter, 1e-20)[:, None]
-                doc, which = np.nonzero((share > 0.01) & ((matter * words >= LEAST_WORDS) & (matter >= LEAST_PART))[:, None])
+                doc, which = np.nonzero((share > least) & ((matter * words >= LEAST_WORDS) & (matter >= LEAST_PART))[:, None])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(doc + first)),
@@ -269,7 +324,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
 
 def corpus_composition(mixtures: DataFrame) -> DataFrame:
-    """Subject matter of the corpus by subject: subject, documents, words, share."""
+    """Subject matter of the corpus by subject: subject, documents, words, share. ``mixtures`` with ``least`` = 0 have all of it, however thinly it is spread."""
     by = mixtures.groupBy("subject").agg(F.count_if(F.col("share") >= LEAST_SHARE).alias("documents"), F.sum(F.col("share") * F.col("words")).alias("words"))
     whole: Column = F.lit(float(by.agg(F.sum("words")).first()[0] or 1.0))
     return by.withColumn("share", F.col("words") / whole)

@@ -89,5 +89,20 @@ def test_terms():
     assert terms(None) == {} and terms("") == {} and terms("1 2 # a1b2") == {}
     assert terms("Größe größe") == terms("gr\\u00f6\\u00dfe GRÖßE") and sum(terms("one two two").values()) == 3
     prose = "word " * 30
-    assert terms(prose + "\n```sh\nmake it\n```\n") == terms(prose)
-    assert terms("```sh\nmake this now please\n```\nhi there")
+    assert terms(prose + "\n```sh\nmake it\n```\n") != terms(prose)  # code counts as what the text says
+    assert sum(terms("x" * 3 + " " + "wort" * 50).values()) == 2  # words of any length
+    assert len(terms("法院判决书")) == 4  # pairs of neighbours
+
+
+def test_composition_keeps_thin_shares(spark):
+    documents, labels, subjects, _ = frames(spark)
+    cut, whole = (corpus_composition(subject_mixtures(documents, labels, subjects, least=x)).agg({"words": "sum"}).first()[0] for x in (0.01, 0.0))
+    assert whole >= cut
+
+
+def test_too_many_subjects_are_an_error(spark):
+    import pytest
+
+    documents, labels, _, _ = frames(spark)
+    with pytest.raises(ValueError, match="subjects"):
+        subject_mixtures(documents, labels, spark.range(100).selectExpr("cast(id as string) AS subject"))
