@@ -43,7 +43,7 @@ def spread(scan: DataFrame) -> DataFrame:
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b")):
+    if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return scan
     files = scan.inputFiles()
     return scan.repartition(cores) if 0 < len(files) < cores else scan
