@@ -163,27 +163,42 @@ def lookalike_classes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame
     return melted.select("fld", key, F.sha2("value", 256).alias("value_hash"), F.sha2(one_form_column(F.col("value")), 256).alias("class"))
 
 
-def lookalike_pairs(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def lookalike_class_sizes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row for each class of a field: fld, class, variants (different values that read the same), members (rows).
+
+    With :func:`lookalike_classes` (who is in which class) this is the whole result, linear in the rows however large a class is.
+    Counted by partial aggregations, so a class of any size is no hot key. Null fields are in no class; an empty table gives none.
+    """
+    by_value = lookalike_classes(rows, key, fields).groupBy("fld", "class", "value_hash").agg(F.count(F.lit(1)).alias("n"))
+    return by_value.groupBy("fld", "class").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("members"))
+
+
+#: Rows with one value that one cell of the pair join takes; values with more are cut into several cells.
+CELL = 20_000
+
+
+def lookalike_pairs(rows: DataFrame, key: str, fields: list[str], cell: int = CELL) -> DataFrame:
     """Pairs of rows whose values in a field differ but read the same: fld, a, b (a < b), each once.
 
     Classes with one value only, however many copies it has, are left out by a partial
     aggregation before any join. Within the others, pairs of different values are joined to
-    the rows that have them; rows with equal values never meet.
+    the rows that have them; rows with equal values never meet. Values with many rows are salted: the rows of a value are cut into cells
+    of about ``cell``, and a pair of values becomes a grid of cells, so that no task takes all rows of a hot value.
+    Null fields are in no pair; repeated rows count once; an empty table gives none.
     """
-    classes = cut_lineage(lookalike_classes(rows, key, fields))
-    variants = (
-        classes.groupBy("fld", "class", "value_hash")
-        .agg(F.lit(1).alias("one"))
-        .join(
-            classes.groupBy("fld", "class").agg(F.min("value_hash").alias("low"), F.max("value_hash").alias("high")).where("low <> high").select("fld", "class"),
-            ["fld", "class"],
-        )
-        .drop("one")
+    packed = lambda c: F.unhex(F.substring(c, 1, 32)).alias(c)  # noqa: E731 - 128 of 256 bits
+    classes = cut_lineage(lookalike_classes(rows, key, fields).select("fld", key, packed("value_hash"), packed("class")))
+    by_value = classes.groupBy("fld", "class", "value_hash").agg(F.count(F.lit(1)).alias("n"))
+    several = by_value.groupBy("fld", "class").agg(F.min("value_hash").alias("low"), F.max("value_hash").alias("high")).where("low <> high").select("fld", "class")
+    variants = cut_lineage(by_value.join(several, ["fld", "class"]).select("fld", "class", "value_hash", F.ceil(F.col("n") / cell).cast("int").alias("cells")))
+    x, y = (variants.withColumnsRenamed({"value_hash": v, "cells": f"__n{v}"}) for v in "xy")
+    grid = (
+        x.join(y, ["fld", "class"])
+        .where("x < y")
+        .select("fld", "class", "x", "y", "__ny", F.explode(F.sequence(F.lit(0), F.col("__nx") - 1)).alias("__i"))
+        .select("fld", "class", "x", "y", "__i", F.explode(F.sequence(F.lit(0), F.col("__ny") - 1)).alias("__j"))
     )
-    x, y = variants.withColumnRenamed("value_hash", "x"), variants.withColumnRenamed("value_hash", "y")
-    values = x.join(y, ["fld", "class"]).where("x < y").select("fld", "class", "x", "y")
-    members = classes.select("fld", "class", "value_hash", key)
-    left = members.withColumnsRenamed({"value_hash": "x", key: "__x"})
-    right = members.withColumnsRenamed({"value_hash": "y", key: "__y"})
-    pairs = values.join(left, ["fld", "class", "x"]).join(right, ["fld", "class", "y"])
+    members = classes.join(variants, ["fld", "class", "value_hash"]).select("fld", "class", "value_hash", key, F.pmod(F.xxhash64(key), F.col("cells")).cast("int").alias("__cell"))
+    left, right = (members.withColumnsRenamed({"value_hash": v, key: f"__{v}", "__cell": c}) for v, c in (("x", "__i"), ("y", "__j")))
+    pairs = grid.join(left, ["fld", "class", "x", "__i"]).join(right, ["fld", "class", "y", "__j"])
     return pairs.select("fld", F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b")).where("a < b").distinct()

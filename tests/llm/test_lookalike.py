@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftspark.llm.lookalike import LOOKALIKES, _normal, _tables, lookalike_classes, lookalike_pairs, one_form, one_form_column
+from siftspark.llm.lookalike import LOOKALIKES, _normal, _tables, lookalike_class_sizes, lookalike_classes, lookalike_pairs, one_form, one_form_column
 
 SAME = [
     ("Ｈｅｌｌｏ，", "Hello,"),
@@ -97,6 +97,13 @@ def test_pairs_match_brute_force(spark):
     got = [(p.fld, p.a, p.b) for p in lookalike_pairs(df, "scan_id", ["raw", "text"]).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert lookalike_classes(df, "scan_id", ["raw", "text"]).count() == sum((x[1] is not None) + (x[2] is not None) for x in rows)
+    salted = [(p.fld, p.a, p.b) for p in lookalike_pairs(df.union(df.limit(40)), "scan_id", ["raw", "text"], cell=7).collect()]
+    assert len(salted) == len(want) and set(salted) == want
     assert lookalike_pairs(df.limit(0), "scan_id", ["raw"]).count() == 0
+    sizes = {(x.fld, x["class"]): (x.variants, x.members) for x in lookalike_class_sizes(df, "scan_id", ["raw", "text"]).collect()}
+    by_class = {}
+    for x in lookalike_classes(df, "scan_id", ["raw", "text"]).collect():
+        by_class.setdefault((x.fld, x["class"]), []).append(x.value_hash)
+    assert sizes == {k: (len(set(v)), len(v)) for k, v in by_class.items()}
     forms = df.select("raw", one_form_column(df.raw).alias("form")).collect()
     assert all(x.form == one_form(x.raw) for x in forms)
