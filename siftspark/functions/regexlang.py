@@ -6,6 +6,9 @@ Unicode's simple one, and a dot stops at line feeds only. :func:`java` spells th
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +103,54 @@ def java(pattern: str, flags: str = "ium") -> str:
     return f"(?{''.join(sorted({*flags, 'u', 'd'}))})" + "".join(out)
 
 
+@lru_cache(None)
+def python(pattern: str, flags: str = "im") -> re.Pattern:
+    """The same pattern for Python workers, compiled once in each."""
+    edge = f"(?-i:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c, n = pattern[i], pattern[i + 1 : i + 2]
+        if c == "\\":
+            plain = {"w": _W, "d": _D, "s": _S}.get(n.lower())
+            if plain and n.islower():
+                out.append(plain if in_class else f"[{plain}]")
+            elif plain and not in_class:
+                out.append(f"[^{plain}]")
+            elif n == "b" and not in_class:
+                out.append(edge)
+            elif n == "x" and pattern[i + 2 : i + 3] == "{":
+                end = pattern.index("}", i)
+                out.append(f"\\U{int(pattern[i + 3 : end], 16):08x}")
+                i = end + 1
+                continue
+            elif plain or n in "BpP":
+                raise ValueError(f"not in the common dialect: \\{n} in {pattern}")
+            else:
+                out.append(c + n)
+            i += 2
+            continue
+        if c == "[":
+            out.append("\\[" if in_class else c)
+            if not in_class and n in ("^", "]"):
+                out.append(n if n == "^" else "\\]")
+                i += 1
+                if n == "^" and pattern[i + 1 : i + 2] == "]":
+                    out.append("\\]")
+                    i += 1
+            in_class = True
+        elif c == "]" and in_class:
+            in_class = False
+            out.append(c)
+        elif c == "$" and not in_class and "m" not in flags:
+            out.append("\\Z")
+        elif in_class and c in "&~|-" and n == c:
+            out.append("\\" + c)  # no set operations
+        else:
+            out.append(c)
+        i += 1
+    return re.compile("".join(out), sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in flags))
+
+
 def re2(pattern: str, flags: str = "im") -> str:
     """The pattern with its flags in front, as RE2 (and DuckDB) reads it."""
     return f"(?{flags})" + pattern if flags else pattern

@@ -10,6 +10,8 @@ import json
 import re
 from collections.abc import Iterator
 
+from siftspark.functions import regexlang
+from siftspark.operators import text as T
 from siftspark.operators.layers import Layer
 from siftspark.operators.normalize import invisible, mixed_script
 from siftspark.operators.rules import IMPACT
@@ -22,19 +24,16 @@ _CSS = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\
 _ATTRIBUTE = re.compile(r"<[a-z]+\b[^<>]{0,4000}?(?:\bhidden\b|\baria-hidden=\"true\")", re.I)
 _SPACED = re.compile(r"(?:[^\W_][ \t]+){5,}[^\W_]\b")
 _BROKEN = re.compile(r"(?:[^\W_][._-]){4,}[^\W_]")
-_FRAMING = re.compile(
-    r"stop (?:read|scann|analy[sz]|review|process)ing|do not (?:read|scan|analy[sz]e|review|continue|proceed)|(?:cease|halt|abort) (?:your )?(?:analysis|review|scan|reading)|"
-    r"refuse to (?:continue|proceed|analy[sz]e|help|assist)|you (?:must|should) (?:stop|refuse|decline|not continue)|this (?:project|code|repository|repo|work) is (?:illegal|immoral|unethical|forbidden|prohibited)|"
-    r"(?:прекрати|останови)(?:те)? (?:чтение|сканирование|анализ|проверку)|не (?:читай|сканируй|анализируй|продолжай)|(?:ты|вы) (?:должен|должны|обязан) (?:остановиться|отказаться|прекратить)|откажись (?:продолжать|помогать|анализировать)",
-    re.I,
-)
-_REVIEWER = re.compile(r"\b(?:ai|assistant|agent|model|claude|gpt|llm|reviewer|scanner|ассистент|агент|модел|сканер|проверяющ)", re.I)
+_FRAMING, _REVIEWER = regexlang.python(T.FRAMING), regexlang.python(T.REVIEWER)
+# Topics put into a text to make a reviewer refuse: agents and arms that kill many, the making of pathogens, abuse of children; EN and RU.
+_ARMS = r"(?:bio(?:logical)?[- ]?|chemical |nuclear |radiological )(?:agents?|arms|bombs?|devices?|warheads?|weapons?)|dirty bombs?|nerve (?:agents?|gas)|weapons? of mass destruction|wmd"
+_MAKING = r"(?:cultur|synthesi[sz]|weaponi[sz])(?:e|ing) (?:an? |the )?(?:anthrax|nerve agents?|pathogens?|ricin|sarin|smallpox|toxins?|virus(?:es)?)"
 _TOPIC = re.compile(
-    r"\b(?:weapons? of mass destruction|wmd|bio(?:logical)?[- ]?weapons?|chemical weapons?|nerve agents?|nuclear (?:weapons?|bombs?|device)|dirty bombs?|"
-    r"(?:synthesi[sz]e|weaponi[sz]e|culture) (?:a )?(?:pathogens?|viruses?|nerve agents?|anthrax|smallpox|sarin|ricin)|mass[- ]?casualt(?:y|ies)|bioterror(?:ism)?|child (?:sexual abuse|abuse material)|csam|"
-    r"оруж(?:ие|ия) массового поражения|био(?:логическо(?:е|го))?[- ]?оруж(?:ие|ия)|химическо(?:е|го) оруж(?:ие|ия)|ядерн(?:ое|ого) оруж(?:ие|ия)|синтез (?:патогена|вируса|отравляющего))\b",
+    rf"\b(?:{_ARMS}|{_MAKING}|bioterror(?:ism|ist)?|child (?:abuse material|sexual abuse)|csam|mass[- ]?casualt(?:ies|y)|"
+    r"(?:био(?:логическ\w+ )?|химическ\w+ |ядерн\w+ )оружи[еяю]|оружи[еяю] массового поражения|синтез\w* (?:вируса|отравляющ\w+|патогена))\b",
     re.I,
 )
+_TOPIC_SIGNS = ("agents", "agent", "anthrax", "arms", "bomb", "casualt", "csam", "child ", "device", "gas", "patho", "ricin", "sarin", "smallpox", "terror", "toxin", "virus", "warhead", "weapon", "wmd", "оружи", "синтез")
 #: Encodings that are views of ordinary text: only what is found in them counts.
 VIEWS = ("rot13", "entities-context")
 
@@ -57,7 +56,7 @@ def hidden(text: str, raw: str | None) -> Iterator[Found]:
         start = text.find("<!--", end + 3)
     for m in _MARKDOWN_COMMENT.finditer(text):
         yield _of("hidden", "hidden_text", 0.5, *m.span())
-    for pattern in (_CSS, _ATTRIBUTE):
+    for pattern in (_CSS, _ATTRIBUTE) if "<" in text or ">" in text else ():
         for m in pattern.finditer(text):
             yield _of("hidden", "hidden_text", 0.6, *m.span())
 
@@ -74,10 +73,11 @@ def obfuscation(text: str, raw: str | None) -> Iterator[Found]:
 
 def abort_bait(text: str, kind: str | None) -> Iterator[Found]:
     """Orders to a reviewer to stop, and topics put beside them to make one refuse."""
-    framing = [m.span() for m in _FRAMING.finditer(text)]
+    low = text.lower()
+    framing = [m.span() for m in _FRAMING.finditer(text)] if T.has_any(low, T.FRAMING_SIGNS) else []
     for start, end in framing:
         yield _of("abort_bait", "abort_bait", 0.9 if _REVIEWER.search(text[max(0, start - 40) : end + 40]) else 0.75, start, end)
-    for m in _TOPIC.finditer(text):
+    for m in _TOPIC.finditer(text) if T.has_any(low, _TOPIC_SIGNS) else ():
         near = _FRAMING.search(text[max(0, m.start() - 160) : m.end() + 160])
         confidence = 0.9 if near else 0.7 if framing else 0.6 if kind == "agent_config" else 0.0
         if confidence:

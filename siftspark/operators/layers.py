@@ -169,17 +169,6 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def in_bytes(text: str, offsets: set[int]) -> dict[int, int]:
-    """UTF-8 byte offsets of character offsets."""
-    if text.isascii():
-        return {o: o for o in offsets}
-    out, at, total = {}, 0, 0
-    for o in sorted(offsets):
-        total += len(text[at:o].encode("utf-8", "replace"))
-        out[o], at = total, o
-    return out
-
-
 @dataclass(frozen=True)
 class Layer:
     """A text under a document: where it is in the layer above and in the document, in characters, its normalised text, and what is encoded in it."""

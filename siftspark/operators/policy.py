@@ -49,3 +49,17 @@ def verdicts(docs: DataFrame, findings: DataFrame, key: str, profile: Profile =
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = docs.join(by, key, "left").select(docs[key], zero("level"), zero("findings"), zero("suppressed"))
     return joined.withColumn("action", action(F.col("level")))
+
+
+def judged(findings: Column, trusted: Column, profile: Profile = STRICT) -> Column:
+    """The verdict over an array of findings: (level, action, findings, suppressed), without a shuffle.
+
+    ``findings`` are those at or over the profile's floor with their effective levels, the highest first, then by place; ``suppressed`` the signals under it.
+    """
+    rated = F.transform(findings, lambda f: f.withField("level", F.coalesce(effective_level(f.level, f.confidence, trusted, profile), F.lit(-1))))
+    kept = F.filter(rated, lambda f: f.level >= 0)
+    ordered = F.array_sort(F.transform(kept, lambda f, i: F.struct((-f.level).alias("down"), f.start.alias("at"), i.alias("i"))))
+    placed = F.transform(ordered, lambda o: F.get(kept, o.i))
+    level = F.coalesce(F.array_max(F.transform(kept, lambda f: f.level)), F.lit(0))
+    quiet = F.filter(findings, lambda f: (f.confidence < profile.least) & (f.confidence >= SUPPRESSED_FROM))
+    return F.struct(level.alias("level"), action(level).alias("action"), placed.alias("findings"), quiet.alias("suppressed"))

@@ -1,99 +1,102 @@
-"""The whole scan: normalise, run the detectors on the text and on every layer decoded from it, dedupe; policy judges the rest."""
+"""The whole scan: normalise, run the detectors on the text and on every layer decoded from it, drop what is dominated; policy judges the rest.
+
+All of it is one Arrow function from a text to an array of its findings, and policy is expressions over that array: a
+document is read once, nothing is shuffled, and a verdict is a column beside its document.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
+from siftspark.operators import redact
 from siftspark.operators import text as T
-from siftspark.operators.detectors import detected
-from siftspark.operators.layers import LAYER_BYTES, batched, in_bytes, unwrapped
-from siftspark.operators.normalize import normalized
-from siftspark.operators.rules import IMPACT, RULES, Rule, rule_findings
+from siftspark.operators.detectors import Found, detected
+from siftspark.operators.layers import LAYER_BYTES, Layer, unwrapped
+from siftspark.operators.rules import IMPACT, RULES, Place, Rule, confidence_at, excerpt, folded, in_bytes, matches
 from siftspark.session import spread
 
-#: Secrets as findings.
-SECRET_RULES = [Rule(label, "redaction", "secret_material", confidence, pattern) for label, confidence, pattern, _ in T.SECRETS]
 #: A paragraph of this lexical score is an order to a model.
 CLASSIFIED_FROM = 0.8
-_KEPT = ("kind", "trusted", "source")
-_PLACE = ("depth", "chain", "blob_start", "blob_end", "root_start", "root_end")
-_PLACE_SCHEMA = "depth int, chain array<string>, blob_start int, blob_end int, root_start int, root_end int"
-_PLACE_KINDS = (pa.int32(), pa.list_(pa.string()), *[pa.int32()] * 4)
-# Order of the detectors: of two equal findings the earlier one's stays.
-_ORDER = {name: i for i, name in enumerate(["instruction", "weak", "command", "shell", "abort_bait", "obfuscation", "hidden", "encoded", "agent_config", "classifier", "redaction"])}
-
-
-def _pass(docs: DataFrame, key: str, text: str, rows, schema: str, kinds: tuple) -> DataFrame:
-    """``rows(raw, kind, source)`` of each document after its key and kept columns."""
-    head = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in (key, *_KEPT))
-    names = [c.split(" ")[0] for c in f"{head}, {schema}".split(", ")]
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [batch.schema.field(i).type for i in range(4)]
-            each = zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            yield from batched(((*k, *row) for *k, raw in each for row in rows(raw, k[1], k[3])), names, (*own, *kinds))
-
-    return docs.select(key, *_KEPT, text).mapInArrow(step, f"{head}, {schema}")
-
-
-def _layers(raw: str | None):
-    """(layer, its place) of each layer the detectors run on; places are UTF-8 bytes, of the blob in the layer above and in the document."""
-    above: dict[tuple, dict[int, int]] = {}
-    for x in unwrapped(raw):
-        if x.depth == 0:
-            whole = x.text
-        if x.depth and len(x.text.encode("utf-8", "replace")) > LAYER_BYTES:
-            continue
-        spots = in_bytes(x.text, {o for c in x.inside for o in c[1:3]})
-        if x.depth == 0:
-            above = {0: spots}
-            end = len(whole.encode("utf-8", "replace"))
-            yield x, (0, [], 0, end, 0, end)
-        else:
-            up = above[x.depth - 1]
-            yield x, (x.depth, list(x.chain), up[x.start], up[x.end], above[0][x.root_start], above[0][x.root_end])
-        above[x.depth] = spots
-
-
-def _texts(raw, kind, source):
-    for x, place in _layers(raw):
-        yield (*place, x.text)
-
-
-def _others(raw, kind, source):
-    for x, place in _layers(raw):
-        found = list(detected(x, raw, kind, source))
-        spots = {space: in_bytes(t, {o for f in found if f[6] == space for o in f[4:6]}) for space, t in (("text", x.text), ("raw", raw)) if any(f[6] == space for f in found)}
-        seen, line = 0, 1
-        lines = {}
-        for at in sorted({f[4] for f in found if f[6] == "text"}) if x.depth == 0 else ():
-            line += x.text.count("\n", seen, at)
-            seen, lines[at] = at, line
-        for detector, category, level, confidence, start, end, space in found:
-            shown = "(invisible characters)" if space == "raw" and detector == "hidden" else (raw if space == "raw" else x.text)[start : min(end, start + 120)].replace("\n", "\\n")
-            at = lines.get(start) if space == "text" else 1 + raw.count("\n", 0, start)
-            yield (*place, detector, None, category, level, round(confidence, 6), spots[space][start], spots[space][end], space, at, shown)
-
-
-def _paragraphs(raw, kind, source):
-    whole = normalized(raw) or ""
-    at, line = 0, 1
-    for part in whole.split("\n\n"):
-        size = len(part.encode("utf-8", "replace"))
+#: The order of detectors: of two equal findings the earlier one's stays.
+DETECTORS = ("instruction", "weak", "command", "shell", "abort_bait", "obfuscation", "hidden", "encoded", "agent_config", "classifier", "redaction")
+_ORDER = {name: i * 1000 for i, name in enumerate(DETECTORS)}
+_LATE = len(DETECTORS) * 1000
+
+#: A detector of one's own: the findings of a layer, given the raw text, kind and source of its document.
+Detector = Callable[[Layer, str, str | None, str | None], Iterator[Found]]
+#: Scores of texts between 0 and 1, all of a document at once.
+Classifier = Callable[[Sequence[str]], Sequence[float]]
+
+FINDINGS = (
+    "array<struct<detector:string,rule_id:string,category:string,level:int,confidence:double,depth:int,chain:array<string>,"
+    "start:int,end:int,root_start:int,root_end:int,space:string,line:int,excerpt:string>>"
+)
+_ARROW = pa.list_(
+    pa.struct(
+        [("detector", pa.string()), ("rule_id", pa.string()), ("category", pa.string()), ("level", pa.int32()), ("confidence", pa.float64()), ("depth", pa.int32()), ("chain", pa.list_(pa.string()))]
+        + [(n, pa.int32()) for n in ("start", "end", "root_start", "root_end")]
+        + [("space", pa.string()), ("line", pa.int32()), ("excerpt", pa.string())]
+    )
+)
+NAMES = ("detector", "rule_id", "category", "level", "confidence", "depth", "chain", "start", "end", "root_start", "root_end", "space", "line", "excerpt")
+
+
+def lexical_scores(texts: Sequence[str]) -> list[float]:
+    return [T.lexical(t) or 0.0 for t in texts]
+
+
+def never(texts: Sequence[str]) -> list[float]:
+    """The classifier that finds nothing."""
+    return [0.0] * len(texts)
+
+
+def gated(cheap: Classifier, dear: Classifier, least: float = 0.2) -> Classifier:
+    """A classifier that asks ``dear`` only about texts to which ``cheap`` gives ``least`` or more, all of them in one batch."""
+
+    def scores(texts: Sequence[str]) -> list[float]:
+        out = list(cheap(texts))
+        asked = [i for i, s in enumerate(out) if s >= least]
+        if asked:
+            for i, s in zip(asked, dear([texts[i] for i in asked]), strict=True):
+                out[i] = s
+        return out
+
+    return scores
+
+
+def _in_rules(text: str, kind: str | None, rules: Sequence[Rule]) -> Iterator[tuple]:
+    """(ordinal, detector, rule id, category, level, confidence, start, end) of the rules' matches."""
+    number = {r.rule_id: i for i, r in enumerate(rules)}
+    place = Place(text)
+    for start, rule, end in sorted(((s, r, e) for r, s, e in matches(text, folded(text), rules)), key=lambda h: (h[0], number[h[1].rule_id])):
+        place.go(start)
+        yield (_ORDER.get(rule.rule_set, _LATE) + number[rule.rule_id], rule.rule_set, rule.rule_id, rule.category, IMPACT.get(rule.category, 0), confidence_at(rule, kind, place), start, end)
+
+
+def _private(text: str, options: redact.Options) -> Iterator[Found]:
+    """Secrets and personal data as findings; where they can't be looked for, that is a finding of its own."""
+    try:
+        for m in redact.found(text, options):
+            category = "secret_material" if m.kind in ("secret", "auth") else "pii"
+            yield ("redaction", category, IMPACT[category], m.confidence, m.start, m.end, "text")
+    except Exception:  # noqa: BLE001 - a recogniser of any kind may fail in any way
+        yield ("redaction", "pii", IMPACT["pii"], 1.0, 0, len(text), "text")
+
+
+def _paragraphs(text: str, classifier: Classifier) -> Iterator[Found]:
+    parts, at = [], 0
+    for part in text.split("\n\n"):
         if part.strip():
-            yield (at, at + size, line, part)
-        at, line = at + size + 2, line + part.count("\n") + 2
-
-
-def _stronger_first(n: int, confidence: list, order: list, start: list) -> list[int]:
-    return sorted(range(n), key=lambda i: (-confidence[i], order[i], start[i]))
+            parts.append((at, part))
+        at += len(part) + 2
+    for (start, part), score in zip(parts, classifier([p for _, p in parts]), strict=True):
+        if score >= CLASSIFIED_FROM:
+            yield ("classifier", "instruction_override", IMPACT["instruction_override"], score, start, start + len(part), "text")
 
 
 def undominated(confidence: list[float], order: list[int], start: list[int], end: list[int]) -> list[bool]:
@@ -104,7 +107,7 @@ def undominated(confidence: list[float], order: list[int], start: list[int], end
     keep = [True] * len(start)
     starts: list[int] = []
     ends: list[int] = []
-    for i in _stronger_first(len(start), confidence, order, start):
+    for i in sorted(range(len(start)), key=lambda i: (-confidence[i], order[i], start[i])):
         a, b = start[i], end[i]
         if a >= b:
             continue
@@ -117,51 +120,83 @@ def undominated(confidence: list[float], order: list[int], start: list[int], end
     return keep
 
 
-@F.arrow_udf(ArrayType(BooleanType()))
-def _undominated(confidence: pa.Array, order: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
-    return pa.array([undominated(*row) for row in zip(*[c.to_pylist() for c in (confidence, order, start, end)], strict=True)], pa.list_(pa.bool_()))
+def scan_text(
+    raw: str | None,
+    kind: str | None = None,
+    source: str | None = None,
+    rules: Sequence[Rule] = RULES,
+    classifier: Classifier = lexical_scores,
+    options: redact.Options = redact.DEFAULT,
+    detectors: Sequence[tuple[Detector, bool]] = (),
+) -> list[dict]:
+    """The findings of a text by all detectors on all layers, without the dominated ones. ``detectors`` are further ones, each with whether it runs on the top layer only.
 
-
-def scan_findings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All findings of the documents (key, text, kind, trusted, source), deduplicated.
-
-    Columns: key, kind, trusted, source, detector, rule_id, category, level, confidence, depth, chain, start, end,
-    root_start, root_end, space, line, excerpt. Spans are UTF-8 bytes of the normalised text, of the raw one where
-    ``space`` is raw; under a layer they are the blob's in the layer above, root ones in the document. Null and empty texts have none.
+    Spans are UTF-8 bytes of the normalised text, of the raw one where ``space`` is raw; under a layer they are the blob's in the
+    layer above, root ones in the document. Null and empty texts have none.
     """
-    docs = spread(docs.select(key, *_KEPT, text).where(F.col(text).isNotNull()))
-    order = lambda detector: F.create_map(*[F.lit(x) for kv in _ORDER.items() for x in kv])[detector]
-    columns = ("detector", "rule_id", "category", "level", "confidence", "depth", "chain", "start", "end", "root_start", "root_end", "space", "line", "excerpt", "ordinal")
-
-    texts = _pass(docs, key, text, _texts, f"{_PLACE_SCHEMA}, text string", (*_PLACE_KINDS, pa.string()))
-    every = [*RULES, *SECRET_RULES]
-    by_rule = rule_findings(texts, key, "text", (*_KEPT, *_PLACE), every)
-    sets = F.create_map(*[F.lit(x) for r in every for x in (r.rule_id, r.rule_set)])
-    number = F.create_map(*[F.lit(x) for i, r in enumerate(every) for x in (r.rule_id, i)])
-    top = F.col("depth") == 0
-    placed = lambda own, blob: F.when(top, F.col(own)).otherwise(F.col(blob)).alias(own)
-    rules = by_rule.withColumn("detector", sets[F.col("rule_id")]).select(
-        key, *_KEPT, "detector", "rule_id", "category", "level", "confidence", "depth", "chain", placed("start", "blob_start"), placed("end", "blob_end"),
-        F.when(top, F.col("start")).otherwise(F.col("root_start")).alias("root_start"), F.when(top, F.col("end")).otherwise(F.col("root_end")).alias("root_end"),
-        F.lit("text").alias("space"), F.when(top, F.col("line")).alias("line"), "excerpt", (order(F.col("detector")) * 1000 + number[F.col("rule_id")]).alias("ordinal"),
-    )
-
-    schema = f"{_PLACE_SCHEMA}, detector string, rule_id string, category string, level int, confidence double, start int, end int, space string, line int, excerpt string"
-    kinds = (*_PLACE_KINDS, *[pa.string()] * 3, pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
-    others = _pass(docs, key, text, _others, schema, kinds).withColumn("ordinal", order(F.col("detector")) * 1000)
-    others = others.withColumns({"root_start": F.when(top, F.col("start")).otherwise(F.col("root_start")), "root_end": F.when(top, F.col("end")).otherwise(F.col("root_end")), "start": placed("start", "blob_start"), "end": placed("end", "blob_end")})
-
-    parts = _pass(docs, key, text, _paragraphs, "start int, end int, line int, part string", (pa.int32(), pa.int32(), pa.int32(), pa.string()))
-    scored = parts.withColumn("confidence", T.lexical_score(F.col("part"))).where(F.col("confidence") >= CLASSIFIED_FROM)
-    orders = scored.select(
-        key, *_KEPT, F.lit("classifier").alias("detector"), F.lit(None).cast("string").alias("rule_id"), F.lit("instruction_override").alias("category"), F.lit(IMPACT["instruction_override"]).alias("level"), "confidence",
-        F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain"), "start", "end", F.col("start").alias("root_start"), F.col("end").alias("root_end"), F.lit("text").alias("space"), "line",
-        F.replace(F.substring("part", 1, 120), F.lit("\n"), F.lit("\\n")).alias("excerpt"), F.lit(_ORDER["classifier"] * 1000).alias("ordinal"),
-    )
-
-    found = rules.unionByName(others.select(key, *_KEPT, *columns)).unionByName(orders)
-    rest = [c for c in (*_KEPT, *columns) if c not in ("category", "chain", "space")]
-    groups = found.groupBy(key, "category", "chain", "space").agg(F.collect_list(F.struct(*rest)).alias("f"))
-    kept = _undominated(F.col("f.confidence"), F.col("f.ordinal"), F.col("f.start"), F.col("f.end"))
-    pairs = groups.select(key, "category", "chain", "space", F.explode(F.arrays_zip("f", kept.alias("keep"))).alias("p"))
-    return pairs.where("p.keep").select(key, "category", "chain", "space", "p.f.*").select(key, *_KEPT, *columns[:-1])
+    out: list[dict] = []
+    groups: dict[tuple, list[int]] = {}
+    order: list[int] = []
+    above: dict[int, dict[int, int]] = {}
+    for x in unwrapped(raw):
+        top = x.depth == 0
+        text = x.text
+        if not top and len(text.encode("utf-8", "replace")) > LAYER_BYTES:
+            continue
+        found = list(_in_rules(text, kind, rules))
+        others = [*detected(x, raw, kind, source), *(_paragraphs(text, classifier) if top else ()), *_private(text, options)]
+        for detector, top_only in detectors:
+            if top or not top_only:
+                others += detector(x, raw, kind, source)
+        rows = [(*f, "text") for f in found] + [(_ORDER.get(f[0], _LATE), f[0], None, *f[1:]) for f in others]
+        spots = in_bytes(text, {o for r in rows if r[8] == "text" for o in r[6:8]} | {o for c in x.inside for o in c[1:3]})
+        in_raw = in_bytes(raw, {o for r in rows if r[8] == "raw" for o in r[6:8]}) if top else {}
+        above[x.depth] = spots
+        lines = _lines(text, {r[6] for r in rows if r[8] == "text"}) if top else {}
+        for ordinal, detector, rule_id, category, level, confidence, start, end, space in rows:
+            if space == "raw":
+                a, b, line = in_raw[start], in_raw[end], 1 + raw.count("\n", 0, start)
+                shown = "(invisible characters)" if detector == "hidden" else excerpt(raw, start, end)
+            else:
+                a, b, line, shown = spots[start], spots[end], lines.get(start), excerpt(text, start, end)
+            root = (a, b)
+            if not top:
+                a, b = above[x.depth - 1][x.start], above[x.depth - 1][x.end]
+                root = (above[0][x.root_start], above[0][x.root_end])
+            groups.setdefault((category, x.chain, space), []).append(len(out))
+            order.append(ordinal)
+            values = (detector, rule_id, category, level, round(confidence, 6), x.depth, list(x.chain), a, b, *root, space, line, shown.encode("utf-8", "replace").decode())
+            out.append(dict(zip(NAMES, values, strict=True)))
+    kept = set()
+    for members in groups.values():
+        keep = undominated([out[i]["confidence"] for i in members], [order[i] for i in members], [out[i]["start"] for i in members], [out[i]["end"] for i in members])
+        kept.update(i for i, k in zip(members, keep, strict=True) if k)
+    return [out[i] for i in sorted(kept, key=lambda i: (out[i]["depth"], order[i], out[i]["start"]))]
+
+
+def _lines(text: str, starts: set[int]) -> dict[int, int]:
+    out, line, seen = {}, 1, 0
+    for at in sorted(starts):
+        line += text.count("\n", seen, at)
+        seen, out[at] = at, line
+    return out
+
+
+def findings_of(text: Column, kind: Column, source: Column, **how) -> Column:
+    """All findings of each text as one array; ``how`` as of :func:`scan_text`."""
+
+    @F.arrow_udf(FINDINGS)
+    def run(texts: pa.Array, kinds: pa.Array, sources: pa.Array) -> pa.Array:
+        return pa.array([scan_text(*row, **how) for row in zip(texts.to_pylist(), kinds.to_pylist(), sources.to_pylist(), strict=True)], _ARROW)
+
+    return run(text, kind, source)
+
+
+def scanned(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """key, source, kind, trusted, findings of each document (key, text, kind, trusted, source); null and empty texts have none."""
+    return spread(docs.select(key, "source", "kind", "trusted", text)).select(key, "source", "kind", "trusted", findings_of(F.col(text), F.col("kind"), F.col("source"), **how).alias("findings"))
+
+
+def scan_findings(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """One row for each finding: key, kind, trusted, source, and the fields of :data:`NAMES`."""
+    return scanned(docs, key, text, **how).select(key, "kind", "trusted", "source", F.explode("findings").alias("__f")).select(key, "kind", "trusted", "source", "__f.*")

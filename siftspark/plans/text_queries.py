@@ -147,9 +147,9 @@ def secret_mask(spark, sf_dir):
     return _scans(spark, sf_dir).where("raw IS NOT NULL").select("scan_id", T.mask_secrets(F.col("raw")).alias("masked"))
 
 
-@_query(f"SELECT scan_id, unnest(regexp_extract_all(raw, {sql_text(re2(T.SECRETS[12][2]))}, 1)) AS value FROM scan_document")
+@_query(f"SELECT scan_id, unnest(regexp_extract_all(raw, {sql_text(re2(T.secret("url_credentials")))}, 1)) AS value FROM scan_document")
 def url_credentials(spark, sf_dir):
-    return _scans(spark, sf_dir).select("scan_id", F.explode(extract_all(F.col("raw"), T.SECRETS[12][2], 1)).alias("value"))
+    return _scans(spark, sf_dir).select("scan_id", F.explode(extract_all(F.col("raw"), T.secret("url_credentials"), 1)).alias("value"))
 
 
 _KEYWORDS = ("quartz", "Blue Kestrel")
@@ -165,12 +165,12 @@ def keyword_mask(spark, sf_dir):
     return _scans(spark, sf_dir).where(hit).select("scan_id", out.alias("masked"))
 
 
-@_query(f"""WITH v AS (SELECT scan_id, unnest(regexp_extract_all(raw, {sql_text(re2(T.SECRETS[10][2]))}, 1)) AS value FROM scan_document)
+@_query(f"""WITH v AS (SELECT scan_id, unnest(regexp_extract_all(raw, {sql_text(re2(T.secret("generic_secret")))}, 1)) AS value FROM scan_document)
 SELECT scan_id, value FROM v WHERE NOT contains(value, 'sk_test') AND NOT contains(value, 'npm_')""")
 def allowlist_filter(spark, sf_dir):
     """Matches whose value contains no allowed string: RED-23."""
     allowed = F.array(F.lit("sk_test"), F.lit("npm_"))
-    values = _scans(spark, sf_dir).select("scan_id", F.explode(extract_all(F.col("raw"), T.SECRETS[10][2], 1)).alias("value"))
+    values = _scans(spark, sf_dir).select("scan_id", F.explode(extract_all(F.col("raw"), T.secret("generic_secret"), 1)).alias("value"))
     return values.where(~F.exists(allowed, lambda a: F.contains(F.col("value"), a)))
 
 
@@ -198,11 +198,14 @@ def rot13_views(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.octet_length("text").between(40, 65536) & none & two).select("doc_id", decoded.alias("decoded"))
 
 
-@_query(r"""WITH l AS (SELECT path, lower(replace(path, chr(92), '/')) AS p FROM documents WHERE path IS NOT NULL UNION ALL SELECT source, lower(replace(source, chr(92), '/')) FROM scan_document WHERE source IS NOT NULL),
-k AS (SELECT CASE WHEN regexp_matches(string_split(p, '/')[-1], '\.(?:png|jpe?g|gif|webp|svg|bmp|tiff?)$') THEN 'image'
- WHEN string_split(p, '/')[-1] IN ('mcp.json', '.mcp.json', 'settings.json', 'settings.local.json', 'claude_desktop_config.json') OR contains(p, '.vscode/mcp.json') THEN 'agent_config'
- WHEN string_split(p, '/')[-1] IN ('agents.md', 'claude.md', 'gemini.md', 'skill.md', 'copilot-instructions.md', '.cursorrules', '.windsurfrules') OR contains(p, '.cursor/rules/') OR p LIKE '%.mdc' THEN 'instructions'
- ELSE 'file' END AS kind FROM l) SELECT kind, count(*) AS n FROM k GROUP BY kind""")
+def _ends(column: str, names) -> str:
+    return "(" + " OR ".join(f"ends_with({column}, '{n}')" for n in names) + ")"
+
+
+@_query(f"""WITH l AS (SELECT '/' || replace(path, chr(92), '/') AS p FROM documents WHERE path IS NOT NULL UNION ALL SELECT '/' || replace(source, chr(92), '/') FROM scan_document WHERE source IS NOT NULL),
+k AS (SELECT CASE WHEN {_ends('lower(p)', T.IMAGE_ENDS)} THEN 'image' WHEN {_ends('p', ['/' + n for n in T.CONFIG_FILES])} THEN 'agent_config'
+ WHEN {_ends('p', ['/' + n for n in T.INSTRUCTION_FILES])} OR {' OR '.join(f"contains(p, '/{f}')" for f in T.INSTRUCTION_FOLDERS)} THEN 'instructions' ELSE 'file' END AS kind FROM l)
+SELECT kind, count(*) AS n FROM k GROUP BY kind""")
 def path_kind_classifier(spark, sf_dir):
     paths = table(spark, sf_dir, "documents").select("path").unionAll(table(spark, sf_dir, "scan_document").select("source")).where("path IS NOT NULL")
     return paths.groupBy(T.path_kind(F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from siftspark.operators.text import path_kind
 
 # Fixed values of the scan: size limit, directories left out, bytes looked at for zeros, bytes of text of an image.
 MOST_BYTES, SNIFFED, IMAGE_TEXT = 2 << 20, 8192, 1 << 20
-SKIPPED = (".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".vscode", ".next", ".cache")
+SKIPPED = (".git", ".hg", ".idea", ".svn", ".venv", ".vscode", "__pycache__", "build", "dist", "node_modules", "target", "vendor", "venv")
 
 
 def files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
