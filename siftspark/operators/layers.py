@@ -8,7 +8,6 @@ from __future__ import annotations
 import base64
 import binascii
 import html
-import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,8 +24,8 @@ from siftspark.operators.normalize import normalized
 DEPTH, LAYER_BYTES, DECODED_BYTES = 3, 1 << 20, 4 << 20
 
 _SHAPES = {
-    "base64": re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])"),
-    "base64url": re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9]*[-_])[A-Za-z0-9_-]{40,}={0,2}"),
+    "base64": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])"),
+    "base64url": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9]*[-_])[A-Za-z0-9_-]{40,}={0,2}"),
     "base32": re.compile(r"\b[A-Z2-7]{32,}={0,6}(?![A-Z2-7=])"),
     "hex": re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}[ :,]?){23,}[0-9a-fA-F]{2}(?![0-9A-Fa-f])"),
     "url": re.compile(r"(?:%[0-9a-fA-F]{2}){8,}"),
@@ -237,81 +236,3 @@ def batched(rows: Iterable[tuple], names: list[str], kinds: tuple) -> Iterator[p
             waiting, size = [], 0
     if waiting:
         yield batch()
-
-
-# ---- tool results -----------------------------------------------------------------------
-
-# Fixed limits of tool results: bytes, depth, nodes.
-RESULT_BYTES, RESULT_DEPTH, RESULT_NODES = 32 << 20, 64, 65_536
-
-
-class _Invalid(ValueError):
-    pass
-
-
-def _no_duplicates(pairs: list) -> dict:
-    out = dict(pairs)
-    if len(out) != len(pairs):
-        raise _Invalid("duplicate key")
-    return out
-
-
-def strict_result(text: str | None) -> tuple[bool, str | None, str | None]:
-    """(valid, flattened text, reason): keys sorted, keys and strings on a line each, numbers as they are written.
-
-    Invalid are nulls, what isn't one JSON object, repeated keys, and what is over the limits.
-    """
-    if text is None:
-        return (False, None, "null")
-    if len(text.encode("utf-8", "replace")) > RESULT_BYTES:
-        return (False, None, "limit")
-    try:
-        value = json.loads(text, object_pairs_hook=_no_duplicates, parse_int=_Digits, parse_float=_Digits, parse_constant=lambda c: (_ for _ in ()).throw(_Invalid(c)))
-    except (ValueError, RecursionError):
-        return (False, None, "invalid")
-    if not isinstance(value, dict):
-        return (False, None, "invalid")
-    if "content" in value and not (isinstance(value["content"], list) and all(isinstance(x, dict) for x in value["content"])):
-        return (False, None, "invalid")
-    if "structuredContent" in value and not isinstance(value["structuredContent"], dict):
-        return (False, None, "invalid")
-    out: list[str] = []
-    stack: list[tuple[object, int]] = [(value, 1)]
-    nodes = 0
-    while stack:
-        node, depth = stack.pop()
-        nodes += 1
-        if depth > RESULT_DEPTH or nodes > RESULT_NODES:
-            return (False, None, "limit")
-        if isinstance(node, _Digits):
-            out.append(node.text)
-        elif isinstance(node, str):
-            out.append(node)
-        elif isinstance(node, list):
-            stack += [(x, depth + 1) for x in reversed(node)]
-        elif isinstance(node, dict):
-            opaque = node.get("type") in ("image", "audio") and "data" in node
-            for k in sorted(node, reverse=True):
-                if not (opaque and k == "data") and not (k == "blob" and "uri" in node):
-                    stack.append((node[k], depth + 1))
-                stack.append((k, depth))
-    return (True, "\n".join(out), None)
-
-
-class _Digits:
-    __slots__ = ("text",)
-
-    def __init__(self, text: str) -> None:
-        self.text = text
-
-
-def flattened(results: DataFrame, key: str, text: str) -> DataFrame:
-    """key, valid, flat, reason of each tool result."""
-
-    @F.arrow_udf("struct<valid:boolean,flat:string,reason:string>")
-    def run(values: pa.Array) -> pa.Array:
-        rows = [strict_result(v.as_py()) for v in values]
-        clean = lambda s: s.encode("utf-8", "replace").decode() if s is not None else None
-        return pa.array([{"valid": a, "flat": clean(b), "reason": c} for a, b, c in rows], pa.struct([("valid", pa.bool_()), ("flat", pa.string()), ("reason", pa.string())]))
-
-    return results.select(key, run(F.col(text)).alias("r")).select(key, "r.*")

@@ -63,3 +63,18 @@ def judged(findings: Column, trusted: Column, profile: Profile = STRICT) -> Colu
     level = F.coalesce(F.array_max(F.transform(kept, lambda f: f.level)), F.lit(0))
     quiet = F.filter(findings, lambda f: (f.confidence < profile.least) & (f.confidence >= SUPPRESSED_FROM))
     return F.struct(level.alias("level"), action(level).alias("action"), placed.alias("findings"), quiet.alias("suppressed"))
+
+
+def decide(findings: list[dict], trusted: bool | None = False, profile: Profile = STRICT) -> dict:
+    """:func:`judged` for Python workers: level, action, findings and suppressed of one document."""
+    kept = []
+    for i, f in enumerate(findings):
+        if f["confidence"] < profile.least:
+            continue
+        level = f["level"] - (f["confidence"] < profile.sure and f["level"] > 1)
+        level -= bool(profile.trust_lowers and trusted and level > 1)
+        kept.append((-level, f["start"], i, {**f, "level": level}))
+    kept.sort(key=lambda k: k[:3])
+    level = -kept[0][0] if kept else 0
+    quiet = [f for f in findings if SUPPRESSED_FROM <= f["confidence"] < profile.least]
+    return {"level": level, "action": ACTIONS[level], "findings": [k[3] for k in kept], "suppressed": quiet}

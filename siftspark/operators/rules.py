@@ -65,7 +65,7 @@ RULES = [
     Rule("R21", "weak", "instruction_override", 0.3, r"\b(?:ты|вы|ассистент|агент)\s+(?:долж[а-яё]+|обязан[а-яё]*)\b"),
     Rule("R22", "weak", "instruction_override", 0.3, r"\b(?:втайне|молча|незаметно|по-тихому|скрытно|тайком|тайно)\b"),
     Rule("R23", "weak", "instruction_override", 0.35, r"\b(?:этот|данный)\s+(?:файл|документ)\s+(?:[а-яё]+\s+){0,3}для\s+(?:ии|агента|ассистента)\b"),
-    Rule("R24", "command", "exfiltration", 0.85, r"\b(?:curl|wget|http)\s[^\n|;]{0,1000}(?:\s-d\s|\s--data|\s-F\s|\s--form|\s-T\s|\s--upload-file|\s--post-(?:data|file))"),
+    Rule("R24", "command", "exfiltration", 0.85, r"\b(?:curl|wget|http)\s(?:[^\n|;]{0,1000}\s)?(?:-[dFT](?:[\s@\"']|$)|--data\S*|--form\S*|--json|--upload-file|--post-(?:data|file))"),
     Rule("R25", "command", "exfiltration", 0.9, r"\b(?:curl|wget)\s[^\n]{0,1000}\$\((?:cat|printenv|env|whoami|id)\b"),
     Rule("R26", "command", "exfiltration", 0.7, rf"\b(?:scp|sftp|rsync|ftp|nc|ncat|netcat|socat)\s[^\n|;]{{0,1000}}(?:{_HOST}|{_IPV4})"),
     Rule("R27", "command", "exfiltration", 0.5, rf"\bssh\s+(?:-\S+\s+)*[\w.-]+@(?:{_HOST}|{_IPV4})"),

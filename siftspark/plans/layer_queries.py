@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators.layers import flattened, layers
-from siftspark.operators.policy import ACTIONS
-from siftspark.operators.rules import rule_findings
+from siftspark.operators.layers import layers
+from siftspark.operators.results import decisions, flattened
 from siftspark.session import spread, table
 
 
@@ -21,19 +20,21 @@ def decode_by_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hooks = table(spark, sf_dir, "hook_input").dropDuplicates(["input_id"]).where("tool_response IS NOT NULL")
+    hooks = table(spark, sf_dir, "hook_input").select("input_id", "tool_response").dropDuplicates(["input_id"]).where("tool_response IS NOT NULL")
     return flattened(hooks, "input_id", "tool_response")
 
 
 def tool_result_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivery of each tool result: withheld if invalid or over limits or blocked, transformed if it needs a warning, else original."""
-    flat = json_flatten(spark, sf_dir)
-    found = rule_findings(flat.where("valid"), "input_id", "flat").groupBy("input_id").agg(F.max("level").alias("level"))
-    judged = flat.join(found, "input_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    delivery = F.when(~F.col("valid"), "withheld").when(F.col("level") == 3, "withheld").when(F.col("level") > 0, "transformed").otherwise("original")
-    action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("level")]
-    return judged.select("input_id", delivery.alias("delivery"), F.when(~F.col("valid"), F.concat(F.col("reason"), F.lit("_result"))).otherwise(action).alias("reason"))
+    """The decision over each tool result, without masking."""
+    hooks = table(spark, sf_dir, "hook_input").select("input_id", "tool_name", "tool_response").dropDuplicates(["input_id"]).where("tool_response IS NOT NULL")
+    return hooks.select("input_id", decisions(F.col("tool_response"), F.col("tool_name"), F.lit(False)).alias("d")).select("input_id", "d.action", "d.delivery", "d.reason", "d.level", "d.finding_count")
 
 
-QUERIES = {"decode_layers": decode_layers, "decode_by_encoding": decode_by_encoding, "json_flatten": json_flatten, "tool_result_decision": tool_result_decision}
+def tool_result_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with personal data and secrets masked, and what is delivered."""
+    hooks = table(spark, sf_dir, "hook_input").select("input_id", "tool_name", "tool_response").dropDuplicates(["input_id"]).where("tool_response IS NOT NULL")
+    return hooks.select("input_id", decisions(F.col("tool_response"), F.col("tool_name"), F.lit(False), masking=True).alias("d")).select("input_id", "d.delivery", "d.reason", "d.output")
+
+
+QUERIES = {"decode_layers": decode_layers, "decode_by_encoding": decode_by_encoding, "json_flatten": json_flatten, "tool_result_decision": tool_result_decision, "tool_result_masked": tool_result_masked}
 ORACLE: dict[str, str] = {}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import history, layer_queries, report_queries, rewrite_queries, rule_queries, scan_queries, stream_queries, text_queries
+from siftspark.plans import case_queries, history, layer_queries, report_queries, rewrite_queries, rule_queries, scan_queries, stream_queries, text_queries
 
-_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries, rewrite_queries, scan_queries]
+_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries, rewrite_queries, scan_queries, case_queries]
 
 
 def queries() -> dict:
