@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.operators import redact, sanitize
+from siftspark.operators.mentions import AT_ONCE, mentions
 from siftspark.operators.normalize import normalized
 from siftspark.operators.policy import STRICT, Profile, decide
-from siftspark.operators.redact import BLOCK, Change, Digits, Options, Withheld
+from siftspark.operators.redact import Change, Digits, Options, Withheld
 from siftspark.operators.rules import LEVELS
 from siftspark.operators.scan import scan_text
 
@@ -296,54 +297,20 @@ def post_tool_uses(tool_name: Column, tool_input: Column, tool_response: Column,
     return run(tool_name, tool_input, tool_response)
 
 
-#: Blocked sources that are looked for in one pass.
-BLOCKED_AT_ONCE = 100_000
-
-
 def deny(reason: str) -> str:
     return json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": reason}}, ensure_ascii=False)
 
 
-def pre_tool_use(hooks: DataFrame, blocked: DataFrame | None, key: str = "input_id", at_once: int = BLOCKED_AT_ONCE) -> DataFrame:
+def pre_tool_use(hooks: DataFrame, blocked: DataFrame | None, key: str = "input_id", at_once: int = AT_ONCE) -> DataFrame:
     """key, source, output of each event whose input names a blocked source: the first of them by name, and the hook's denial.
 
-    An automaton of the blocked sources reads the fields of :data:`LOOKED_AT` in one pass over the rows; no pairs are formed. A list of more than ``at_once``
-    sources is taken in parts, one pass for each. Without a readable list (``blocked`` is None) every event is denied.
+    The fields of :data:`LOOKED_AT` are looked through. Without a readable list (``blocked`` is None) every event is denied. Events sent twice count once.
     """
-    spark = hooks.sparkSession
     rows = hooks.select(key, "tool_input").dropDuplicates([key])
-    schema = f"{key} {hooks.schema[key].dataType.simpleString()}, source string"
     if blocked is None:
         return rows.select(key, F.lit(None).cast("string").alias("source"), F.lit(deny("[siftspark] the block list can't be read; repair it and try again")).alias("output"))
-    names = blocked.select("source").where("source IS NOT NULL AND source <> ''").distinct()
-    parts = -(-names.count() // at_once)
-    found = None
-    for part in range(parts):
-        some = [r[0] for r in names.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == part).collect()]
-        sent = spark.sparkContext.broadcast(some)  # at most about ``at_once`` names
-
-        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for name in sent.value:
-                automaton.add_word(name, name)
-            automaton.make_automaton()
-            for batch in batches:
-                at, hit = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    given = _object(text)
-                    names = [n for k in LOOKED_AT if isinstance(given.get(k), str) for _, n in automaton.iter(given[k])]
-                    if names:
-                        at.append(i)
-                        hit.append(min(names))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hit, pa.string())], names=[key, "source"])
-
-        hits = rows.mapInArrow(look, schema) if some else spark.createDataFrame([], schema)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    first = found.groupBy(key).agg(F.min("source").alias("source")) if parts > 1 else found
+    fields = F.array(*[F.get_json_object("tool_input", f"$.{f}") for f in LOOKED_AT])
+    first = mentions(rows.select(key, fields.alias("fields")), blocked.select("source"), "fields", "source", at_once).groupBy(key).agg(F.min("source").alias("source"))
     said = F.to_json(F.struct(F.struct(F.lit("PreToolUse").alias("hookEventName"), F.lit("deny").alias("permissionDecision"), F.concat(F.lit("[siftspark] source "), "source", F.lit(" is blocked; the user may unblock it by hand")).alias("permissionDecisionReason")).alias("hookSpecificOutput")))
     return first.select(key, "source", said.alias("output"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import case_queries, history, layer_queries, report_queries, rewrite_queries, rule_queries, scan_queries, stream_queries, text_queries
+from siftspark.plans import case_queries, history, layer_queries, report_queries, rewrite_queries, rule_queries, scan_queries, stream_queries, text_queries, whole_queries
 
-_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries, rewrite_queries, scan_queries, case_queries]
+_MODULES = [history, rule_queries, text_queries, report_queries, layer_queries, stream_queries, rewrite_queries, scan_queries, case_queries, whole_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_queries.policy_strict_actions(spark, sf_dir)
+    return scan_queries.scan_documents(spark, sf_dir)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.operators.policy import ACTIONS
+from siftspark.operators.policy import ACTIONS, STRICT
 from siftspark.operators.rules import IMPACT
 from siftspark.session import table
 
@@ -51,9 +51,11 @@ _add(
     tables=("finding", "scan_document"),
 )
 _add("exit_code", f"SELECT CASE WHEN max({_IMPACT}) >= 2 THEN max({_IMPACT}) ELSE 0 END AS exit_code FROM {{finding}}")
+# Policy over findings: the strict profile's floor and doubt.
+_EFFECTIVE = f"CASE WHEN coalesce(confidence, 0) >= {STRICT.least} THEN {_IMPACT} - CASE WHEN confidence < {STRICT.sure} AND {_IMPACT} > 1 THEN 1 ELSE 0 END ELSE 0 END"
 _add(
     "document_actions",
-    f"SELECT level, {_ACTION.format('level')} AS action, count(*) AS documents FROM (SELECT scan_id, max({_IMPACT}) AS level FROM {{finding}} WHERE coalesce(confidence, 0) >= 0.25 GROUP BY scan_id) AS v GROUP BY level",
+    f"SELECT level, {_ACTION.format('level')} AS action, count(*) AS documents FROM (SELECT scan_id, max({_EFFECTIVE}) AS level FROM {{finding}} GROUP BY scan_id) AS v GROUP BY level",
 )
 _add("top_sources", "SELECT source, count(*) AS findings FROM {finding} GROUP BY source ORDER BY findings DESC, source LIMIT 10")
 _add(
@@ -61,11 +63,6 @@ _add(
     "SELECT scan_id, array_join(array_sort(collect_set(category)), ',') AS categories FROM {finding} GROUP BY scan_id",
     "SELECT scan_id, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM {finding} GROUP BY scan_id",
 )
-_add(
-    "session_worst_level",
-    "SELECT session_id, count(*) AS calls, max(CASE WHEN tool_response ILIKE '%critical%' THEN 3 WHEN tool_response ILIKE '%warn%' THEN 2 WHEN tool_response IS NOT NULL THEN 1 ELSE 0 END) AS worst FROM {hook_input} GROUP BY session_id",
-    tables=("hook_input",),
-)
 _add("confidence_by_detector", "SELECT detector, round(avg(confidence), 6) AS mean_confidence, count(confidence) AS n FROM {finding} GROUP BY detector")
 _add(
     "chain_depth",
@@ -73,8 +70,10 @@ _add(
     "SELECT cast(coalesce(len(chain), -1) AS bigint) AS depth, count(*) AS n FROM {finding} GROUP BY 1",
 )
 # ---- windows and interval operators -----------------------------------------------------
+# The first of each by a partial aggregation: a source with a third of all findings is one row of each task.
 _add(
     "first_finding_per_source",
+    "SELECT source, r.finding_id, r.category, r.line FROM (SELECT source, min_by(struct(finding_id, category, line), struct(found_at, finding_id)) AS r FROM {finding} GROUP BY source) AS g",
     "SELECT source, finding_id, category, line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY found_at, finding_id) AS rn FROM {finding}) AS f WHERE rn = 1",
 )
 _add(
@@ -102,15 +101,6 @@ _BLOCKED = "(SELECT source FROM {finding} WHERE source IS NOT NULL GROUP BY sour
 for _name, _spark_join, _duck_join in (("blocklist_semi_join", "LEFT SEMI", "SEMI"), ("blocklist_anti_join", "LEFT ANTI", "ANTI")):
     _text = f"SELECT s.scan_id, s.source FROM {{scan_document}} AS s %s JOIN {_BLOCKED} AS b ON b.source = s.source"
     _add(_name, _text % _spark_join, _text % _duck_join, ("finding", "scan_document"))
-# The blocked names are a list of operators' making, one array: no pairs of rows are formed.
-_add(
-    "blocklist_substring",
-    """SELECT input_id FROM (SELECT input_id, tool_name, tool_input,
-  (SELECT collect_set(tool_name) FROM (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5)) AS names FROM {hook_input}) AS h
-WHERE array_contains(names, tool_name) OR exists(names, x -> contains(tool_input, replace(split_part(x, '__', 2), '_', '')))""",
-    "SELECT DISTINCT h.input_id FROM {hook_input} AS h JOIN (SELECT tool_name FROM {hook_input} WHERE tool_name LIKE 'mcp__%' GROUP BY tool_name HAVING count(*) >= 5) AS b ON contains(h.tool_input, replace(split_part(b.tool_name, '__', 2), '_', '')) OR h.tool_name = b.tool_name",
-    tables=("hook_input",),
-)
 # First of each (category, excerpt) by a partial aggregation, so that a hot excerpt is no pile of pairs.
 _add(
     "fresh_findings_antijoin",
@@ -129,28 +119,15 @@ _add(
     "enclosing_findings",
     "SELECT inner_f.finding_id, count(*) AS enclosing FROM {finding} AS inner_f JOIN {finding} AS outer_f ON inner_f.scan_id = outer_f.scan_id AND outer_f.span_from <= inner_f.span_from AND inner_f.span_to <= outer_f.span_to AND inner_f.finding_id <> outer_f.finding_id GROUP BY inner_f.finding_id",
 )
-_add(
-    "joined_instruction_view",
-    "SELECT source, count(*) AS parts, sha2(array_join(transform(array_sort(collect_list(struct(scan_id, raw))), x -> x.raw), '\\n\\n'), 256) AS joined FROM {scan_document} WHERE kind = 'instructions' AND raw IS NOT NULL GROUP BY source HAVING count(*) >= 2",
-    "SELECT source, count(*) AS parts, sha256(string_agg(raw, chr(10) || chr(10) ORDER BY scan_id)) AS joined FROM {scan_document} WHERE kind = 'instructions' AND raw IS NOT NULL GROUP BY source HAVING count(*) >= 2",
-    tables=("scan_document",),
-)
 # ---- tools: pins, collisions, exposure --------------------------------------------------
-_HASH = "sha2(concat_ws(char(1), coalesce(description, ''), coalesce(input_schema, ''), coalesce(annotations, '')), 256)"
-_DUCK_HASH = "sha256(concat_ws(chr(1), coalesce(description, ''), coalesce(input_schema, ''), coalesce(annotations, '')))"
+# Parts are parted by a zero, as nothing in them is one; a null part is an empty one.
+_HASH = "sha2(concat(coalesce(description, ''), char(0), coalesce(input_schema, ''), char(0), coalesce(annotations, '')), 256)"
+_DUCK_HASH = "sha256(concat(coalesce(description, ''), chr(0), coalesce(input_schema, ''), chr(0), coalesce(annotations, '')))"
 _PINS = """SELECT server, name, snapshot_id, CASE WHEN h = first_value(h) OVER w THEN 'known' ELSE 'changed' END AS state
 FROM (SELECT *, {hash} AS h FROM {{tool_snapshot}} WHERE listed) AS t WINDOW w AS (PARTITION BY server, name ORDER BY received_at, snapshot_id)"""
 _add("tool_pin_changes", _PINS.format(hash=_HASH), _PINS.format(hash=_DUCK_HASH), tables=("tool_snapshot",))
 _add("tool_name_collisions", "SELECT name, count(DISTINCT server) AS servers FROM {tool_snapshot} GROUP BY name HAVING count(DISTINCT server) > 1", tables=("tool_snapshot",))
-_add(
-    "tool_cross_origin",
-    """SELECT DISTINCT server, name, explode(filter(servers, o -> o <> server AND contains(lower(description), lower(o)))) AS mentions
-FROM (SELECT server, name, description, (SELECT collect_set(server) FROM {tool_snapshot}) AS servers FROM {tool_snapshot}) AS t""",
-    "SELECT DISTINCT t.server, t.name, o.server AS mentions FROM {tool_snapshot} AS t JOIN (SELECT DISTINCT server FROM {tool_snapshot}) AS o ON o.server <> t.server AND contains(lower(t.description), lower(o.server))",
-    tables=("tool_snapshot",),
-)
 _add("tool_exposure", "SELECT DISTINCT server, name, concat(server, '__', name) AS exposed FROM {tool_snapshot} WHERE listed ORDER BY exposed", tables=("tool_snapshot",))
-_add("tool_warn_once", "SELECT server, name, min(received_at) AS first_listed, max(received_at) AS last_listed, count(*) AS listings FROM {tool_snapshot} GROUP BY server, name", tables=("tool_snapshot",))
 # ---- reports ----------------------------------------------------------------------------
 _add(
     "text_report",

@@ -9,14 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.session import shared_dir
-from siftspark.streaming.state import blocklist, counters, tool_events, windowed_counts
+from siftspark.streaming.state import blocklist, counters, pins, tool_events, windowed_counts
+
+
+#: Files of a micro-batch: what a batch holds of one key is sorted in its task.
+FILES_A_BATCH = 16
 
 
 def _drained(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """The rows a stream has written once all files are read: sink and checkpoint lie in the shared folder."""
     at = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
     path = os.path.join(sf_dir, "events.parquet")
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if os.path.isdir(path) else os.path.dirname(path) + "/events.parquet*")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path if os.path.isdir(path) else os.path.dirname(path) + "/events.parquet*")
     out = transform(tool_events(source))
 
     def write(batch: DataFrame, number: int) -> None:
@@ -37,16 +41,22 @@ def streaming_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, sf_dir, counters, "complete")
 
 
+def streaming_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(spark, sf_dir, pins, "append")
+
+
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(tool_events(spark.read.parquet(os.path.join(sf_dir, "events.parquet"))))
 
 
-QUERIES = {"streaming_blocklist": streaming_blocklist, "streaming_counters": streaming_counters, "windowed_events": windowed_events}
+QUERIES = {"streaming_blocklist": streaming_blocklist, "streaming_counters": streaming_counters, "streaming_pins": streaming_pins, "windowed_events": windowed_events}
 _EVENTS = "SELECT event_type AS source, event_id, ts, CASE WHEN value >= 95 THEN 3 WHEN value >= 50 THEN 1 ELSE 0 END AS level, CASE WHEN event_id % 997 = 0 THEN 'unblock' END AS control FROM events"
 ORACLE = {
     "streaming_counters": f"SELECT source, count(*) AS events, count(*) FILTER (level = 3) AS critical, min(ts) AS first_seen, max(ts) AS last_seen FROM ({_EVENTS}) GROUP BY source",
     "streaming_blocklist": f"""WITH e AS ({_EVENTS}), marked AS (SELECT *, CASE WHEN control = 'unblock' THEN 0 WHEN level = 3 THEN 1 END AS turns FROM e),
 state AS (SELECT *, last_value(turns IGNORE NULLS) OVER (PARTITION BY source ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marked)
 SELECT source, event_id, ts, coalesce(before, 0) = 1 AS blocked FROM state WHERE control IS NULL""",
+    "streaming_pins": f"""WITH e AS (SELECT *, sha256(coalesce(props, '')) AS h FROM (SELECT event_type AS source, event_id, ts, props FROM events)), p AS (SELECT *, first_value(h) OVER w AS pin, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY source ORDER BY ts, event_id))
+SELECT source, event_id, ts, CASE WHEN n = 1 THEN 'new' WHEN h = pin THEN 'known' ELSE 'changed' END AS state FROM p""",
     "windowed_events": f"SELECT source, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS events FROM ({_EVENTS}) GROUP BY ALL",
 }

@@ -1,6 +1,7 @@
 """Reports, logs and state as tables and files: written by all executors, replaced as a whole, and merged by key.
 
 A report is a table of numbered lines. Its parts are written in order, so the files one after the other are the document, whatever its size.
+Reports read their verdicts several times: give them a written table or a checkpoint.
 """
 
 from __future__ import annotations
@@ -102,7 +103,10 @@ def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/current")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    at = [r.at for r in spark.read.schema("at string").json(f"{root.rstrip('/')}/current").collect()]
+    try:
+        at = [r.at for r in spark.read.schema("at string").json(f"{root.rstrip('/')}/current").collect()]
+    except Exception as e:
+        raise ValueError(f"the state under {root} can't be read") from e
     if len(at) != 1 or not at[0]:
         raise ValueError(f"the state under {root} can't be read")
     return spark.read.schema(schema).parquet(at[0])
