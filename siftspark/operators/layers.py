@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from siftspark.operators.normalize import normalized
 
-# Fixed limits: depth of decoding, bytes of a layer that is decoded further, bytes of a decoded text.
+# Fixed limits: depth of decoding, characters of a layer that is decoded further, bytes a compressed text may grow to. Nothing else is limited:
+# a layer over the second is still read by all detectors, and the scan has a finding that it wasn't decoded further; what was cut by the third has "cut" in its chain.
 DEPTH, LAYER_BYTES, DECODED_BYTES = 3, 1 << 20, 4 << 20
 
 _SHAPES = {
@@ -36,7 +37,9 @@ _SHAPES = {
 }
 _PIECE = re.compile(r"""(["'])([^"'\n]*)\1""")
 _ESCAPED = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\u\{([0-9a-fA-F]{1,6})\}|\\([0-7]{3})")
+#: Words that show a text to be plain: English ones, and Russian ones, in which rot13 changes nothing.
 STOP_WORDS = (" the ", " and ", " you ", " that ", " with ", " this ", " for ", " are ", " not ")
+PLAIN_WORDS = (*STOP_WORDS, " и ", " не ", " что ", " на ", " это ", " как ")
 _ROT13 = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm")
 
 
@@ -53,11 +56,17 @@ def plausible(raw: bytes) -> str | None:
 
 
 def _unpacked(raw: bytes) -> tuple[bytes, str]:
-    """``raw`` without gzip or zlib around it, never more than the limit of it, and what was taken off."""
+    """``raw`` without gzip or zlib around it, and what was taken off; where it grows over the limit, as much of it as that, and "cut"."""
     for magic, wbits, name in ((b"\x1f\x8b", 31, "+gzip"), (b"\x78", 15, "+zlib")):
         if raw.startswith(magic):
             try:
-                return zlib.decompressobj(wbits).decompress(raw, DECODED_BYTES), name
+                unpack = zlib.decompressobj(wbits)
+                out = unpack.decompress(raw, DECODED_BYTES)
+                if not unpack.unconsumed_tail and not unpack.decompress(b"", 1):
+                    return out, name
+                while out and out[-1] & 0xC0 == 0x80:  # not within a character
+                    out = out[:-1]
+                return out[:-1] if out and out[-1] >= 0xC0 else out, name + "+cut"
             except zlib.error:
                 pass
     return raw, ""
@@ -146,7 +155,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     for encoding, shape in _SHAPES.items():
         for m in shape.finditer(text):
             raw = _decoded(encoding, m[0])
-            if raw is None or len(raw) > DECODED_BYTES:
+            if raw is None:
                 continue
             raw, packed = _unpacked(raw)
             decoded = plausible(raw)
@@ -154,14 +163,12 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
                 out.append((encoding + packed, m.start(), m.end(), decoded))
     for encoding, found in (("json", _literals(text)), ("entities-context", _paragraphs(text))):
         for start, end, raw in found:
-            if len(raw) > DECODED_BYTES:
-                continue
             raw, packed = _unpacked(raw)
             decoded = plausible(raw)
             if decoded is not None and decoded != text[start:end].strip('"' if encoding == "json" else ""):
                 out.append((encoding + packed, start, end, decoded))
     low = text.lower()
-    if 40 <= len(text.encode("utf-8", "replace")) <= 65_536 and not any(w in low for w in STOP_WORDS):
+    if len(text.encode("utf-8", "replace")) >= 40 and not any(w in low for w in PLAIN_WORDS):
         turned = text.translate(_ROT13)
         if sum(w in turned.lower() for w in STOP_WORDS) >= 2:
             out.append(("rot13", 0, len(text), turned))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators import redact
+
 #: What stands for a stripped span.
 STRIPPED = "[removed: {}]"
 
@@ -70,18 +73,22 @@ def sse_events(texts: DataFrame, key: str, text: str) -> DataFrame:
     return kept.select(key, (F.col("__i") + 1).alias("event_no"), F.when(F.exists("__lines", lambda x: F.startswith(x, F.lit("event:"))), event).otherwise("message").alias("event"), F.array_join(data, "\n").alias("data"))
 
 
-#: Eleven digits of a Russian mobile number: 7 or 8, then 9, with few signs between; not inside other numbers or words.
-_SEP = r"[  ().\-]{0,4}"
-MOBILE = rf"(?<![0-9A-Za-zА-я_.+])(?:\+7|[78]){_SEP}9(?:{_SEP}[0-9]){{9}}(?![0-9A-Za-zА-я_]|[.,-][0-9])"
+def mobiles(text: Column) -> Column:
+    """All Russian mobile numbers of a text, as they stand; null and empty texts have none."""
 
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[t[m.start : m.end] for m in redact.mobiles(t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-def mobiles(text: Column) -> Column:
-    """All Russian mobile numbers of a text."""
-    return F.regexp_extract_all(text, F.lit(MOBILE), F.lit(0))
+    return run(text)
 
 
 def mask_mobiles(text: Column) -> Column:
-    return F.regexp_replace(text, MOBILE, "[REDACTED:phone]")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([redact.mask_matches(t, redact.mobiles(t)) if t else t for t in texts.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def context_windows(texts: DataFrame, key: str, text: str, most: int = 512, overlap: int = 32) -> DataFrame:

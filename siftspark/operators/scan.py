@@ -141,10 +141,10 @@ def scan_text(
     for x in unwrapped(raw):
         top = x.depth == 0
         text = x.text
-        if not top and len(text.encode("utf-8", "replace")) > LAYER_BYTES:
-            continue
         found = list(_in_rules(text, kind, rules))
         others = [*detected(x, raw, kind, source), *(_paragraphs(text, classifier) if top else ()), *_private(text, options)]
+        if not top and len(text) > LAYER_BYTES:
+            others.append(("encoded", "encoded_payload", IMPACT["encoded_payload"], 0.45, 0, len(text), "text"))  # not decoded further
         for detector, top_only in detectors:
             if top or not top_only:
                 others += detector(x, raw, kind, source)

@@ -421,13 +421,19 @@ def shell_findings(text: str | None, kind: str | None = None, source: str | None
 
 
 def shell(docs: DataFrame, key: str, text: str, kind: str = "kind", source: str = "source") -> DataFrame:
-    """key, category, confidence of the shell findings of each document; only texts that may hold commands leave the JVM."""
-    out = "array<struct<category:string,confidence:double>>"
+    """key, category, confidence, start, end (characters) of what each command of each document does, each place and category once; only texts that may hold commands leave the JVM."""
+    out = "array<struct<category:string,confidence:double,start:int,end:int>>"
+    arrow = pa.list_(pa.struct([("category", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     @F.arrow_udf(out)
     def run(texts: pa.Array, kinds: pa.Array, sources: pa.Array) -> pa.Array:
-        rows = [[{"category": c, "confidence": f} for c, f in shell_findings(t.as_py(), k.as_py(), s.as_py())] for t, k, s in zip(texts, kinds, sources, strict=True)]
-        return pa.array(rows, pa.list_(pa.struct([("category", pa.string()), ("confidence", pa.float64())])))
+        rows = []
+        for t, k, s in zip(texts.to_pylist(), kinds.to_pylist(), sources.to_pylist(), strict=True):
+            best: dict[tuple, float] = {}
+            for category, confidence, start, end in shell_spans(t, k, s):
+                best[category, start, end] = max(confidence, best.get((category, start, end), 0))
+            rows.append([{"category": c, "confidence": f, "start": a, "end": b} for (c, a, b), f in best.items()])
+        return pa.array(rows, arrow)
 
     script = F.lower(F.coalesce(F.col(source), F.lit("")))
     likely = docs.where(F.rlike(F.col(text), F.lit(CANDIDATE)) | F.startswith(F.col(text), F.lit("#!")) | F.rlike(script, F.lit(r"\.(?:sh|bash|zsh)\z")))

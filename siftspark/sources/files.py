@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from siftspark.operators.text import path_kind
 
-# Fixed values of the scan: size limit, directories left out, bytes looked at for zeros, bytes of text of an image.
+# Fixed values of the scan: size limit, directories left out, bytes looked at for zeros, bytes a compressed text of an image may grow to.
 MOST_BYTES, SNIFFED, IMAGE_TEXT = 2 << 20, 8192, 1 << 20
 SKIPPED = (".git", ".hg", ".idea", ".svn", ".venv", ".vscode", "__pycache__", "build", "dist", "node_modules", "target", "vendor", "venv")
 
@@ -32,10 +33,46 @@ def files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataF
     return kept.where((F.col("kind") != "file") | ~binary).withColumn("priority", F.when(F.col("kind").isin("instructions", "agent_config"), 0).otherwise(1))
 
 
-def file_documents(spark: SparkSession, root: str) -> DataFrame:
-    """The same as documents with their text: source, kind, raw. Images give the text of their metadata."""
-    read = files(spark, root)
-    return read.select("source", "kind", F.when(F.col("kind") == "image", image_text(F.when(F.col("kind") == "image", F.col("content")))).otherwise(F.decode("content", "UTF-8")).alias("raw"))
+def single_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as it was asked for: source, kind, content, priority. Neither its size, its folder nor its bytes leave it out."""
+    read = spark.read.format("binaryFile").load(path).select(F.lit(path.rsplit("/", 1)[-1]).alias("source"), "content")
+    return read.withColumn("kind", path_kind(F.col("source"))).withColumn("priority", F.when(F.col("kind").isin("instructions", "agent_config"), 0).otherwise(1)).select("source", "kind", "content", "priority")
+
+
+def left_out(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """source and length of the files of a directory that are over the limit, which the scan doesn't read: what it says nothing about."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") > most_bytes)
+    return listed.select(F.col("path").alias("source"), "length")
+
+
+def file_documents(read: DataFrame, ocr: Callable[[bytes], str | None] | None = None) -> DataFrame:
+    """Files (of :func:`files` or :func:`single_file`) as documents with their text, instructions and configuration first, then by name: source, kind, raw.
+
+    Images give the text of their metadata, and what ``ocr`` reads in them after it, as ``ocr: `` and its text; without it none is read.
+    """
+    image = F.when(F.col("kind") == "image", F.col("content"))
+    text = image_text(image) if ocr is None else _with_ocr(ocr)(image)
+    return read.orderBy("priority", "source").select("source", "kind", F.when(F.col("kind") == "image", text).otherwise(F.decode("content", "UTF-8")).alias("raw"))
+
+
+def _with_ocr(ocr: Callable[[bytes], str | None]):
+    @F.arrow_udf(StringType())
+    def run(contents: pa.Array) -> pa.Array:
+        out = []
+        for c in contents.to_pylist():
+            parts = [metadata_text(c), ocr(c) if c else None]
+            shown = "\nocr: ".join(p or "" for p in parts) if parts[1] else parts[0]
+            out.append(shown)
+        return pa.array(out, pa.string())
+
+    return run
+
+
+def _inflated(data: bytes) -> bytes:
+    """A compressed text; one that grows over the limit is cut there, and says so."""
+    unpack = zlib.decompressobj()
+    out = unpack.decompress(data, IMAGE_TEXT)
+    return out + b"\n[cut at the limit]" if unpack.unconsumed_tail else out
 
 
 def metadata_text(content: bytes | None) -> str | None:
@@ -52,11 +89,11 @@ def metadata_text(content: bytes | None) -> str | None:
             _gif(content, out)
         elif content[:4] == b"RIFF" and content[8:12] == b"WEBP":
             _webp(content, out)
-        elif b"<svg" in content[:4096].lower():
-            out.append(content[:IMAGE_TEXT].decode("utf-8", "replace"))
+        elif b"<svg" in content.lower():
+            out.append(content.decode("utf-8", "replace"))
     except (struct.error, IndexError, zlib.error):
         pass  # what was read before the damage counts
-    text = "\n".join(t for t in out if t.strip())[:IMAGE_TEXT]
+    text = "\n".join(t for t in out if t.strip())
     return text or None
 
 
@@ -68,12 +105,12 @@ def _png(b: bytes, out: list[str]) -> None:
         if kind == b"tEXt":
             out.append(data.partition(b"\0")[2].decode("latin-1"))
         elif kind == b"zTXt":
-            out.append(zlib.decompressobj().decompress(data.partition(b"\0")[2][1:], IMAGE_TEXT).decode("latin-1"))
+            out.append(_inflated(data.partition(b"\0")[2][1:]).decode("latin-1"))
         elif kind == b"iTXt":
             _, _, rest = data.partition(b"\0")
             packed, rest = rest[0], rest[2:]
             rest = rest.split(b"\0", 2)[2]
-            out.append((zlib.decompressobj().decompress(rest, IMAGE_TEXT) if packed else rest).decode("utf-8", "replace"))
+            out.append((_inflated(rest) if packed else rest).decode("utf-8", "replace"))
         at += 12 + size
 
 

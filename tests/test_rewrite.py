@@ -22,7 +22,7 @@ def test_mobiles(spark):
     rows = [("+7 (912) 345-67-89 x", "[REDACTED:phone] x"), ("8-912-345-67-89", "[REDACTED:phone]"), ("call 79123456789.", "call [REDACTED:phone]."), ("+8 912 345 67 89", "+8 912 345 67 89"), ("id 1789123456789", "id 1789123456789"), ("8 495 123 45 67", "8 495 123 45 67"), ("2024-8-9123456789", "2024-8-9123456789"), (None, None)]
     df = spark.createDataFrame(rows, "t string, want string")
     bad = [r for r in df.select("t", "want", mask_mobiles(F.col("t")).alias("got")).collect() if r.got != r.want]
-    assert [b.t for b in bad] in ([], ["2024-8-9123456789"])
+    assert bad == []
 
 
 def test_windows_cover_and_overlap(spark):
