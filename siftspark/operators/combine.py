@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftspark.operators.rules import IMPACT
 from siftspark.operators.scan import scan_text
+from siftspark.session import cut_lineage
 
 # Files and signals from which weak signals are spread, signals from which one file has too many, and what of it is sure.
 SPREAD_FILES, SPREAD_SIGNALS, FILE_SIGNALS = 3, 4, 5
@@ -22,7 +23,7 @@ def spread_signals(suppressed: DataFrame, project: str, source: str) -> DataFram
     ``suppressed`` has a row for each suppressed finding. Signals are counted by file and then by project, so a project of any size is two rows of sums.
     """
     weak = suppressed.where(F.col("category").isin(*INSTRUCTION_LIKE))
-    by_file = weak.groupBy(project, source).agg(F.count(F.lit(1)).alias("here"), F.min(F.struct("start", "end", "line", "excerpt")).alias("first"))
+    by_file = cut_lineage(weak.groupBy(project, source).agg(F.count(F.lit(1)).alias("here"), F.min(F.struct("start", "end", "line", "excerpt")).alias("first")))  # read twice below
     by_project = by_file.groupBy(project).agg(F.count(F.lit(1)).alias("files"), F.sum("here").alias("total"))
     enough = ((F.col("files") >= SPREAD_FILES) & (F.col("total") >= SPREAD_SIGNALS)) | ((F.col("files") == 1) & (F.col("total") >= FILE_SIGNALS))
     sums = by_project.where(enough).withColumn("confidence", F.round(F.least(0.5 + F.col("total") / 20, F.lit(0.85)), 6))

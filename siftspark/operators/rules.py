@@ -232,7 +232,8 @@ def findings_column(text: Column, kind: Column | None = None, rules: Sequence[Ru
     def run(texts: pa.Array, kinds: pa.Array) -> pa.Array:
         return pa.array([found_in(t, k, rules) for t, k in zip(texts.to_pylist(), kinds.to_pylist(), strict=True)], _FINDING_ARROW)
 
-    return run(text, F.lit(None).cast("string") if kind is None else kind)
+    # Called nondeterministic, as Spark would else run it once more for each filter on what it finds.
+    return run.asNondeterministic()(text, F.lit(None).cast("string") if kind is None else kind)
 
 
 def undominated_column(findings: Column) -> Column:

@@ -189,7 +189,8 @@ def findings_of(text: Column, kind: Column, source: Column, **how) -> Column:
     def run(texts: pa.Array, kinds: pa.Array, sources: pa.Array) -> pa.Array:
         return pa.array([scan_text(*row, **how) for row in zip(texts.to_pylist(), kinds.to_pylist(), sources.to_pylist(), strict=True)], _ARROW)
 
-    return run(text, kind, source)
+    # Called nondeterministic, as Spark would else scan once more for each filter on what is found.
+    return run.asNondeterministic()(text, kind, source)
 
 
 def scanned(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
@@ -199,4 +200,5 @@ def scanned(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
 
 def scan_findings(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """One row for each finding: key, kind, trusted, source, and the fields of :data:`NAMES`."""
-    return scanned(docs, key, text, **how).select(key, "kind", "trusted", "source", F.explode("findings").alias("__f")).select(key, "kind", "trusted", "source", "__f.*")
+    # Outer, as Spark would else scan once more to filter out documents without findings.
+    return scanned(docs, key, text, **how).select(key, "kind", "trusted", "source", F.explode_outer("findings").alias("__f")).where(F.col("__f").isNotNull()).select(key, "kind", "trusted", "source", "__f.*")

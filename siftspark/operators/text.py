@@ -120,12 +120,16 @@ def symbol_ratio(text: Column) -> Column:
     return F.when(seen > 0, F.regexp_count(text, F.lit(r"[^\p{L}\p{Nd}\t\n\f\r ]")) / seen).otherwise(0.0)
 
 
+def _holds_any(text: Column, signs: tuple[str, ...]) -> Column:
+    return _some([F.contains(text, F.lit(s)) for s in signs])
+
+
 def lexical_score(text: Column) -> Column:
     """How much a text reads like instructions to a model: logistic of weighted features, 0 under three words; null for null."""
     low = F.lower(text)
     total = F.lit(0.0)
-    for weight, pattern in LEXICAL:
-        total = total + F.when(matches(low, pattern, "s"), weight).otherwise(0.0)
+    for (weight, pattern), signs in zip(LEXICAL, LEXICAL_SIGNS, strict=True):
+        total = total + F.when(_holds_any(low, signs) & matches(low, pattern, "s"), weight).otherwise(0.0)  # the pattern only where its signs are
     n = words(text)
     total = total + F.when(matches(low, IMPERATIVE, "") & (n <= 40), 0.6).otherwise(0.0) + F.when(matches(low, SECOND_PERSON, ""), 0.4).otherwise(0.0)
     total = total - F.when(symbol_ratio(text) > 0.25, 0.5).otherwise(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.functions.regexlang import re2, sql_text
-from siftspark.operators.policy import ACTIONS, BALANCED, STRICT, SUPPRESSED_FROM, Profile, verdicts
+from siftspark.operators.policy import ACTIONS, BALANCED, STRICT, SUPPRESSED_FROM, Profile, judged
 from siftspark.operators.rules import IMPACT, LEVELS, RULES, findings_column, impact, level_name, rule_findings, rule_hits, undominated_column
 from siftspark.session import spread, table
 
@@ -70,13 +70,18 @@ found AS (SELECT doc_id, kind, trusted, source, rule_id, category, CASE category
 _FOUND_CTE = "WITH " + _findings_sql()
 
 
+def _judged(spark: SparkSession, sf_dir: str, profile: Profile) -> DataFrame:
+    """doc_id, level, action, findings, suppressed of each document, by the rules over its text as it is: one scan, nothing shuffled."""
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "text", "kind", "trusted"))
+    found = docs.select("doc_id", "trusted", findings_column(F.col("text"), F.col("kind")).alias("f"))
+    verdict = found.select("doc_id", judged(F.col("f"), F.col("trusted"), profile).alias("v"))
+    return verdict.select("doc_id", "v.level", "v.action", F.size("v.findings").cast("long").alias("findings"), F.size("v.suppressed").cast("long").alias("suppressed"))
+
+
 def _policy(profile: Profile):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _docs(spark, sf_dir)
-        found = rule_findings(docs, "doc_id", "text", ("kind", "trusted"))
-        judged = verdicts(docs.select("doc_id"), found, "doc_id", profile)
         every = spark.createDataFrame([(n, name, ACTIONS[n]) for n, name in LEVELS.items()], "level int, level_name string, action string")
-        counted = judged.groupBy(F.col("level").alias("l")).agg(F.count(F.lit(1)).alias("documents"), F.sum("findings").alias("findings"), F.sum("suppressed").alias("suppressed"))
+        counted = _judged(spark, sf_dir, profile).groupBy(F.col("level").alias("l")).agg(F.count(F.lit(1)).alias("documents"), F.sum("findings").alias("findings"), F.sum("suppressed").alias("suppressed"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
         return every.join(counted, every.level == counted.l, "left").select("level_name", "action", zero("documents"), zero("findings"), zero("suppressed"))
 
@@ -105,8 +110,7 @@ policy_balanced_actions = _policy(BALANCED)
 
 
 def policy_document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return verdicts(docs.select("doc_id"), rule_findings(docs, "doc_id", "text", ("kind", "trusted")), "doc_id", BALANCED).where("level > 0").select("doc_id", "level", "action", "findings", "suppressed")
+    return _judged(spark, sf_dir, BALANCED).where("level > 0")
 
 
 def suppressed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +128,7 @@ def fence_discounted_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_dedupe_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that no other of their document and category dominates: overlaps it with more confidence, or as much and an earlier place. An anti-join within each document's array of findings: one scan, nothing shuffled."""
     docs = spread(_docs(spark, sf_dir).select("doc_id", "text", "kind"))
-    kept = docs.select("doc_id", findings_column(F.col("text"), F.col("kind")).alias("f")).where("size(f) > 0").select("doc_id", F.explode(undominated_column(F.col("f"))).alias("f"))
+    kept = docs.select("doc_id", findings_column(F.col("text"), F.col("kind")).alias("f")).select("doc_id", F.explode_outer(undominated_column(F.col("f"))).alias("f")).where("f IS NOT NULL")
     return kept.select("doc_id", "f.category", "f.rule_id", "f.confidence", "f.start", "f.end")
 
 
