@@ -151,20 +151,27 @@ def mixture(
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each listed source reached: source, target_share, max_repeats, documents, available, tokens, most_copies, actual_share."""
+    """What each listed source reached: source, target_share, max_repeats, documents, available, mixed_tokens, most_copies, actual_share, possible_total, total_tokens, binding.
+
+    ``possible_total`` is how large the whole mixture could be if this source alone were the limit; the least of them binds the mixture where no total is asked for:
+    ``binding`` names its source in every row, so that one small source with a large share doesn't shrink the corpus unseen. It is null where no source has a token.
+    """
     reached = mixed.groupBy("source").agg(
         F.count_if(F.col("copies") > 0).alias("documents"),
         F.sum("tokens").alias("available"),
         F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"),
         F.max("copies").alias("most_copies"),
     )
-    whole = reached.agg(F.sum("mixed_tokens")).first()[0] or 0
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (
-        targets.join(reached, "source", "left")
-        .select("source", "target_share", "max_repeats", *map(zero, ("documents", "available", "mixed_tokens", "most_copies")))
-        .withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(whole)) if whole else F.lit(0.0))
-    )
+    joined = targets.join(reached, "source", "left").select("source", "target_share", "max_repeats", *map(zero, ("documents", "available", "mixed_tokens", "most_copies")))
+    # Shares of listed sources without a token fall to the others.
+    counts = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.coalesce("max_repeats", F.lit(1)) > 0)
+    weight = joined.agg(F.sum(F.when(counts, F.col("target_share")))).first()[0] or 0.0
+    possible = F.when(counts, F.coalesce("max_repeats", F.lit(1)) * F.col("available") / F.col("target_share") * F.lit(float(weight)))
+    rated = joined.withColumn("possible_total", possible)
+    whole, binding = rated.agg(F.sum("mixed_tokens"), F.min_by("source", F.struct(F.coalesce("possible_total", F.lit(float("inf"))), "source"))).first() if weight else (0, None)
+    whole = whole or 0
+    return rated.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(whole)) if whole else F.lit(0.0)).withColumn("total_tokens", F.lit(int(whole)).cast("long")).withColumn("binding", F.lit(binding).cast("string"))
 
 
 def sized_documents(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
