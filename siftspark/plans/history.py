@@ -59,4 +59,17 @@ SELECT server, name, description, input_schema, listed, v AS valid_from, valid_t
 FROM kept WHERE NOT dead
 """
 
-ORACLE = {"p1_ledger": LEDGER_SQL}
+#: Versions by the definition: values filled from the listed rows before, schemas compared by their values in any order, a version at each change.
+FOUND_SQL = r"""
+WITH d AS (SELECT DISTINCT ON (server, name, seen_at) server, name, seen_at, description, input_schema, listed FROM tool_snapshot ORDER BY server, name, seen_at, received_at DESC, snapshot_id DESC),
+f AS (SELECT *, last_value(CASE WHEN listed THEN description END IGNORE NULLS) OVER w AS de, last_value(CASE WHEN listed THEN input_schema END IGNORE NULLS) OVER w AS sc FROM d
+  WINDOW w AS (PARTITION BY server, name ORDER BY seen_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT DISTINCT sc FROM f WHERE json_valid(sc)),
+c AS (SELECT s.sc, string_agg(t.fullkey || '=' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) ELSE t.type || coalesce(CAST(t.atom AS VARCHAR), '') END, chr(10) ORDER BY t.fullkey) AS canon FROM s, json_tree(s.sc) AS t GROUP BY s.sc),
+v AS (SELECT f.*, coalesce(c.canon, f.sc) AS canon FROM f LEFT JOIN c ON c.sc = f.sc),
+m AS (SELECT *, listed AND (coalesce(lag(listed) OVER w, false) = false OR de IS DISTINCT FROM lag(de) OVER w OR canon IS DISTINCT FROM lag(canon) OVER w) AS starts FROM v WINDOW w AS (PARTITION BY server, name ORDER BY seen_at)),
+b AS (SELECT *, lead(seen_at) OVER (PARTITION BY server, name ORDER BY seen_at) AS until FROM m WHERE starts OR NOT listed)
+SELECT server, name, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), 'open') AS valid_to FROM b WHERE starts
+"""
+
+ORACLE = {"p1_ledger": LEDGER_SQL, "p1_found": FOUND_SQL}
