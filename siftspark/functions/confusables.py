@@ -1,110 +1,78 @@
-"""Characters drawn like ASCII letters or digits, by what they are drawn like: the data of Unicode UTS 39 (confusables), those that NFKC leaves alone."""
+"""Letters drawn like ASCII ones: a short list by script, rules by the names of characters, and, where it is given, the whole of Unicode's own file.
+
+The list holds the scripts that are used to pose as Latin. For the full data of UTS 39, name its file ``confusables.txt`` in the
+environment variable ``SIFTSPARK_CONFUSABLES`` of the workers.
+"""
 
 from __future__ import annotations
 
-#: Look-alikes of each ASCII text.
-DRAWN_LIKE = {
-    '2': '\u01a7\u03e8\u10c7\u14bf\u1616\u1cb7\ua644\ua6ef\ua75a\U0001ccf2',
-    '3': '\u01b7\u021c\u0417\u04e0\u0545\u0969\u0ae9\u1702\u1c95\u2c9c\u2cc4\u2ccc\ua76a\ua7ab\U000118ca\U00016f3b\U0001ccf3\U0001d206',
-    '4': '\u13ce\uab9e\U000118af\U00016e82\U0001ccf4',
-    '5': '\u01bc\U000118bb\U0001ccf5',
-    '6': '\u03ec\u0431\u13ee\u2cd2\u2cd3\u2cdc\ua543\uabbe\U000118d5\U0001ccf6',
-    '7': '\u172a\u1c84\U000104d2\U000118c6\U00016e8a\U0001ccf7\U0001d1fe\U0001d212',
-    '8': '\u0222\u0223\u09ea\u0a6a\u0b03\ua589\U0001031a\U00011445\U000169fe\U0001ccf8\U0001e8cb',
-    '9': '\u09ed\u0a67\u0b68\u0d6d\u2cca\u2ccb\ua76e\ua76f\U000118ac\U000118cc\U000118d6\U000169c1\U0001ccf9\U0001e2f2',
-    'A': '\u0391\u0410\u13aa\u15c5\ua4ee\U000102a0\U00016f40\U0001ccd6\U0001df6a',
-    'AA': '\ua732',
-    'AE': '\xc6\u04d4',
-    'AO': '\ua734',
-    'AR': '\U0001f707',
-    'AU': '\ua736',
-    'AV': '\ua738\ua73a',
-    'AY': '\ua73c',
-    'B': '\u0392\u0412\u13f4\u15f7\u2c82\ua4d0\ua557\ua7b4\U00010282\U000102a1\U00010301\U0001ccd7',
-    'C': '\u0421\u13df\u2ca4\ua4da\U000102a2\U00010302\U00010415\U0001051b\U000118e9\U000118f2\U0001ccd8\U0001f74c',
-    'D': '\u13a0\u15de\u15ea\ua4d3\U0001ccd9',
-    'E': '\u0395\u0415\u13ac\u22ff\u2d39\ua4f0\ua5cb\U00010286\U000118a6\U000118ae\U0001ccda\U0001df81',
-    'F': '\u03dc\u07d3\u15b4\ua4dd\ua798\U00010287\U000102a5\U00010525\U000118a2\U000118c2\U0001ccdb\U0001d213',
-    'G': '\u050c\u13c0\u13f3\ua4d6\U0001ccdc',
-    'H': '\u0397\u041d\u13bb\u157c\u2c8e\ua4e7\U000102cf\U0001ccdd',
-    'J': '\u037f\u0408\u13ab\u148d\ua4d9\ua7b2\U0001ccdf',
-    'K': '\u039a\u041a\u13e6\u16d5\u2c94\ua4d7\U00010518\U0001cce0',
-    'L': '\u13de\u14aa\u2cd0\ua4e1\U0001041b\U00010526\U000118a3\U000118b2\U00016f16\U0001cce1\U0001d22a',
-    'M': '\u039c\u03fa\u041c\u13b7\u15f0\u16d6\u2c98\ua4df\U000102b0\U00010311\U00010c21\U0001cce2',
-    'MB': '\U0001f76b',
-    'N': '\u039d\u2c9a\ua4e0\U00010513\U00011abe\U0001cce3',
-    'O': '\u039f\u041e\u0555\u07c0\u0b20\u0ce6\u12d0\u1cbf\u2c9e\u2d54\u3007\ua4f3\U00010292\U000102ab\U0001030f\U00010404\U000104c2\U00010516\U00010c17\U000118b5\U000118e0\U00011de0\U00016ae9\U0001cce4\U0001ccf0\U0001e140\U0001e2f0',
-    'OE': '\u0152',
-    'OO': '\ua698\ua74e',
-    'Oy': '\u0478',
-    'P': '\u03a1\u0420\u13e2\u146d\u2ca2\u2cce\ua4d1\U00010295\U0001cce5',
-    'Q': '\u051a\u2d55\U0001cce6',
-    'QE': '\U0001f700',
-    'R': '\u01a6\u024c\u13a1\u13d2\u1587\ua4e3\U000104b4\U00016f35\U0001cce7\U0001d216',
-    'S': '\u0405\u054f\u10bd\u10fd\u13d5\u13da\u1cbd\ua4e2\ua576\U00010296\U00010420\U00016ad6\U00016f3a\U0001cce8',
-    'T': '\u03a4\u0422\u07e0\u13a2\u22a4\u27d9\u2ca6\u3112\u4e05\ua4d4\ua50b\U00010297\U000102b1\U00010315\U000118bc\U00016f0a\U0001cce9\U0001d373\U0001f768',
-    'T3': '\ua728',
-    'U': '\u054d\u1200\u144c\u222a\u22c3\ua4f4\U000104ce\U000118b8\U00016f42\U0001ccea',
-    'V': '\u0474\u0667\u06f7\u13d9\u142f\u2d38\ua4e6\ua6df\U0001051d\U00010c1f\U000118a0\U00016f08\U0001cceb\U0001cefc\U0001d20d\U0001e145',
-    'VB': '\U0001f76c',
-    'W': '\u051c\u13b3\u13d4\ua4ea\U000118e6\U000118ef\U0001ccec\U0001d20c',
-    'X': '\u03a7\u0425\u166d\u16b7\u1cf5\u2573\u2cac\u2d5d\ua4eb\ua7b3\U00010290\U000102b4\U00010317\U00010322\U00010527\U00010c13\U00010c82\U00010cfc\U000118ec\U0001cced',
-    'Y': '\u03a5\u0423\u04ae\u07cc\u13a9\u13bd\u2ca8\u311a\u4e2b\ua4ec\U000102b2\U00010c20\U000118a4\U00016f43\U0001ccee',
-    'Z': '\u0396\u10cd\u13c3\u2c6b\u2c8c\ua4dc\ua6c9\U000102f5\U00010507\U000118a9\U000118e5\U00011abc\U0001ccef',
-    'a': '\u0251\u03b1\u0430\u237a\uab64\U0001df5a',
-    'aa': '\ua733',
-    'ae': '\xe6\u04d5',
-    'ao': '\ua735',
-    'au': '\ua737',
-    'av': '\ua739\ua73b',
-    'ay': '\ua73d',
-    'b': '\u0184\u042c\u07d5\u13cf\u1472\u15af\U0001031c\U00016eb6\U0001d207',
-    'bl': '\u042b',
-    'c': '\u0441\u1004\u105a\u1c83\u1d04\u2ca5\uabaf\U0001043d\U0001d134',
-    'co': '\uab43',
-    'd': '\u0501\u13e7\u146f\ua4d2\U0001018b',
-    'dz': '\u02a3',
-    'e': '\u0435\u04bd\u212e\uab32',
-    'f': '\u0192\u0284\u0584\u1e9d\ua799\uab35\U0001017e',
-    'g': '\u018d\u0261\u0581\u1d83',
-    'h': '\u04ba\u04bb\u0570\u10b9\u13c2',
-    'i': '\xa1\u0131\u0269\u026a\u03b9\u0456\u0582\u13a5\u2373\u2c93\ua647\uab75\U000118c3',
-    'ie': '\U0001df5d',
-    'j': '\u0237\u03f3\u0458\u0575',
-    'l': '\u0196\u01c0\u0399\u0406\u04c0\u04cf\u05c0\u05d5\u05df\u0627\u0661\u06f1\u07ca\u0964\u104a\u16c1\u16d0\u21bf\u2223\u23fd\u2502\u2503\u2c92\u2d4a\u2d4f\ua4f2\ua56f\ua781\ua7ae\ua7fe\ua830\ua8ce\uaa5d\U0001028a\U00010309\U00010320\U0001050e\U00010926\U00010c3e\U00010ca5\U00010cfa\U00011047\U000110c0\U00011141\U000111c5\U000113d4\U0001144b\U000115c5\U00011641\U00011c41\U00011dda\U00011de1\U00016d63\U00016eaa\U00016f28\U0001ccde\U0001ccf1\U0001d100\U0001d377\U0001e141\U0001e8c7\U0001ed01',
-    'lL': '\u1efa',
-    'lO': '\u042e',
-    'll': '\u01c1\u05f0\u0965\u104b\u2016\u2225\ua8cf\U00011048\U000110c1\U00011142\U000111c6\U000113d5\U0001144c\U00011642\U00011c42\U0001d262',
-    'lll': '\ua516',
-    'ls': '\u02aa',
-    'lt': '\u20b6',
-    'lz': '\u02ab',
-    'n': '\u0578\u057c',
-    'o': '\u03bf\u03c3\u03ed\u043e\u0585\u05e1\u0647\u0665\u06be\u06c1\u06d5\u06f5\u07cb\u0840\u0966\u09e6\u0a66\u0ae6\u0b66\u0be6\u0c02\u0c66\u0c82\u0d02\u0d20\u0d66\u0d82\u0e50\u0ed0\u101d\u1040\u10ff\u110b\u11bc\u17e0\u1a45\u1a80\u1a90\u1bea\u1c82\u1d0f\u1d11\u2c9f\uab3d\U0001042c\U000104ea\U0001092c\U00010d07\U00011124\U00011302\U000114d0\U000118c8\U000118d7',
-    'oe': '\u0153',
-    'oi': '\U0001df5e',
-    'oo': '\u1147\u11ee\u221e\ua699\ua74f',
-    'ou': '\U0001df5f',
-    'oy': '\u0479',
-    'p': '\xfe\u01bf\u03c1\u03f8\u0440\u2374\u2ca3\u2ccf',
-    'q': '\u051b\u0563\u0566',
-    'r': '\u0433\u1d26\u2c85\uab47\uab48\uab81\U00016a19',
-    'rn': '\u0560\U00011700\U000118e3',
-    's': '\u01bd\u0455\u0d1f\ua731\uabaa\U00010448\U000118c1',
-    'sss': '\U0001f75c',
-    'tf': '\ua777',
-    'th': '\U0001df64',
-    'ts': '\u02a6',
-    'u': '\u028b\u03c5\u057d\u1d1c\ua79f\uab4e\uab52\U000104f6\U000118d8',
-    'ue': '\u1d6b',
-    'uo': '\uab63',
-    'v': '\u03bd\u0475\u05d8\u1d20\u2228\u22c1\uaba9\U00011706\U000118c0',
-    'w': '\u026f\u0448\u0461\u051d\u0561\u1d21\u29e2\u2cbd\ua7fa\uab83\uaba4\U0001170a\U0001170e\U0001170f\U0001df7d',
-    'wh': '\U0001df65',
-    'x': '\xd7\u0445\u1541\u157d\u166e\u1763\u1bec\u292b\u292c\u2a2f\U00010cc2',
-    'y': '\u0263\u028f\u03b3\u0443\u04af\u10e7\u1d8c\u1eff\u2ca9\uab5a\U000118c4\U000118dc',
-    'z': '\u1d22\u2c6c\u2c8d\u2d2d\uab93',
-}
+import os
+import re
+import unicodedata
+from functools import lru_cache
+
+# Letters of a script, and what each is drawn like, in the same place.
+_ALIKE = (
+    # Cyrillic capitals and small letters
+    ("АВЕЅІЈКМНОРСТУХҮӀԌԚԜѴЗЬ", "ABESIJKMHOPCTYXYIGQWV3b"),
+    ("абгеіјопрсухѕһӏԁԍԛԝѵү", "a6reijonpcyxshldgqwvy"),
+    # Greek
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
+    ("αγηικνορστυχϲϳ", "aynikvopotuxcj"),
+    # Armenian
+    ("ԼՍՏՕազհյոսցօ", "LUSOwqhjnugo"),
+    # Cherokee
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiyAJEWMHYGZ4bRWSVSLCPKdB"),
+    # Coptic
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+)
+# Names of characters that say what they are drawn like: two letters in one sign, small capitals, and letters in a hand or without their dot.
+_NAMED = (
+    (re.compile(r"LATIN CAPITAL LETTER ([A-Z]{2})"), str.upper),
+    (re.compile(r"LATIN SMALL LETTER ([A-Z]{2})"), str.lower),
+    (re.compile(r"LATIN LETTER SMALL CAPITAL ([A-Z])"), str.lower),
+    (re.compile(r"LATIN SMALL LETTER (?:BLACKLETTER |DOTLESS |SCRIPT |SIDEWAYS )([A-Z])"), str.lower),
+    (re.compile(r"OUTLINED LATIN CAPITAL LETTER ([A-Z])"), str.upper),
+)
+#: Two-letter names that are names of sounds or abbreviations, not of what is drawn.
+_SOUNDS = ("DZ", "ET", "EZ", "HV", "IS", "LJ", "NJ", "OI", "SH", "UM")
+
+
+def _by_name() -> dict[str, str]:
+    out = {}
+    for point in (*range(0x00C6, 0x0250), *range(0x0250, 0x02B0), *range(0x1D00, 0x1D80), *range(0xA722, 0xA7FF), *range(0xAB30, 0xAB6B), *range(0x1CCD6, 0x1CCF0)):
+        name = unicodedata.name(chr(point), "")
+        for pattern, case in _NAMED:
+            m = pattern.fullmatch(name)
+            if m and m[1] not in _SOUNDS:
+                out[chr(point)] = case(m[1])
+    return out
+
+
+def read(path: str) -> dict[str, str]:
+    """The entries of a file in the form of Unicode's confusables.txt that map one character to ASCII text."""
+    out = {}
+    with open(path, encoding="utf-8-sig") as lines:
+        for line in lines:
+            parts = line.split("#", 1)[0].split(";")
+            if len(parts) >= 2 and parts[0].strip():
+                source, target = (_text(p) for p in parts[:2])
+                if len(source) == 1 and not source.isascii() and target.isascii():
+                    out[source] = target
+    return out
+
+
+def _text(points: str) -> str:
+    return "".join(chr(int(p, 16)) for p in points.split())
+
 
-#: ASCII text by look-alike.
-CONFUSABLES = {c: ascii_text for ascii_text, drawn in DRAWN_LIKE.items() for c in drawn}
+@lru_cache(1)
+def confusables() -> dict[str, str]:
+    """What each look-alike is drawn like."""
+    out = _by_name()
+    for letters, drawn in _ALIKE:
+        out.update(zip(letters, drawn, strict=True))
+    path = os.environ.get("SIFTSPARK_CONFUSABLES")
+    return out | read(path) if path else out

@@ -24,6 +24,7 @@ from siftspark.operators.normalize import normalized
 # a layer over the second is still read by all detectors, and the scan has a finding that it wasn't decoded further; what was cut by the third has "cut" in its chain.
 DEPTH, LAYER_BYTES, DECODED_BYTES = 3, 1 << 20, 4 << 20
 
+# Names of the encodings, and the least lengths from which a run of their signs is one.
 _SHAPES = {
     "base64": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])"),
     "base64url": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9]*[-_])[A-Za-z0-9_-]{40,}={0,2}"),

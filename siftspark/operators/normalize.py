@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftspark.functions.confusables import CONFUSABLES
+from siftspark.functions.confusables import confusables
 
 PUNCTUATION = dict.fromkeys("\u2018\u2019\u201a\u201b", "'") | dict.fromkeys("\u201c\u201d\u201e\u201f", '"') | dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2212", "-")
 # Scripts ordinary text is written in: words of one of them alone are never folded.
@@ -57,8 +57,8 @@ def _folded(m: re.Match) -> str:
     word = m[0]
     if word.isascii():
         return word
-    fold = should_fold(word)
-    return "".join(PUNCTUATION.get(c) or (CONFUSABLES.get(c, c) if fold else c) for c in word if not invisible(c))
+    alike = confusables() if should_fold(word) else {}
+    return "".join(PUNCTUATION.get(c) or alike.get(c, c) for c in word if not invisible(c))
 
 
 def normalized(text: str | None) -> str | None:

@@ -62,3 +62,14 @@ def test_fences_and_lines():
     found = found_in("a\n```\nsudo x\n```\nsudo y `sudo z` sudo\n" * 3, "file")
     assert [(f["line"], f["confidence"]) for f in found[:4]] == [(3, 0.2), (5, 0.4), (5, 0.2), (5, 0.4)]
     assert found_in(None) == found_in("") == []
+
+
+def test_look_alikes(tmp_path):
+    from siftspark.functions import confusables as C
+
+    table = C.confusables()
+    assert all(len(k) == 1 and not k.isascii() and v.isascii() for k, v in table.items())
+    assert [table[c] for c in "аеᎪΑꓐᴄꜳ"] == ["a", "e", "A", "A", "B", "c", "aa"] and "Ꝫ" not in table
+    at = tmp_path / "confusables.txt"
+    at.write_text("\ufeff# head\n0430 ;\t0061 ;\tMA\t# x\n1D41E ; 0065 ; MA\n2A00 ; 2299 ; MA\n0031 ; 006C ; MA\nA732 ; 0041 0041 ; MA\n\n")
+    assert C.read(str(at)) == {"а": "a", "𝐞": "e", "Ꜳ": "AA"}
