@@ -91,6 +91,6 @@ def scored(model: Model, text: Column) -> Column:
 
 def gated_scores(rows: DataFrame, key: str, text: str, model: Model, least: float = GATE) -> DataFrame:
     """key, score, asked: the lexical score, and from ``least`` on the model's. The rows are split by a filter and joined again by a union, as a function within CASE would be run for all of them."""
-    cheap = rows.select(key, text, T.lexical_score(F.col(text)).alias("score"))
+    cheap = rows.select(key, text, T.lexical_column(F.col(text)).alias("score"))
     low = F.coalesce(F.col("score"), F.lit(0.0)) < least
     return cheap.where(low).select(key, "score", F.lit(False).alias("asked")).unionByName(cheap.where(~low).select(key, scored(model, F.col(text)).alias("score"), F.lit(True).alias("asked")))

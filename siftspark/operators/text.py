@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,6 +169,16 @@ def lexical(text: str | None) -> float | None:
     return round(1 / (1 + math.exp(-(total - SHIFT))), 6)
 
 
+def lexical_column(text: Column) -> Column:
+    """:func:`lexical_score` by Python workers, which look for signs before they run a pattern: faster than the expression on long texts."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([lexical(t) for t in texts.to_pylist()], pa.float64())
+
+    return run.asNondeterministic()(text)  # so that filters on the score don't run it again
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters of a text, in bits."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -108,7 +108,7 @@ def _ratio_sql(column: str) -> str:
 
 @_query(f"SELECT doc_id, {_lexical_sql('text')} AS score FROM documents WHERE text IS NOT NULL")
 def lexical_scores(spark, sf_dir):
-    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.lexical_score(F.col("text")).alias("score"))
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.lexical_column(F.col("text")).alias("score"))
 
 
 @_query(f"SELECT doc_id, round({_ratio_sql('text')}, 6) AS ratio, {_n(r'[^\t\n\x{0B}\f\r ]+', '')} AS words FROM documents WHERE text IS NOT NULL")
@@ -122,7 +122,7 @@ SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, {_lexical_sql('x')} AS sc
 def paragraph_classifier(spark, sf_dir):
     """Paragraphs that score as instructions, all of each text: DET-14."""
     parts = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("i", "x"))
-    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("paragraph"), T.lexical_score(F.col("x")).alias("score"))
+    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("paragraph"), T.lexical_column(F.col("x")).alias("score"))
     return scored.where("score >= 0.8")
 
 

@@ -1,64 +1,67 @@
-"""Keyed state over a stream of tool events: block list, first-seen pins and counters.
+"""Keyed state over a stream of tool events: block list, first-seen pins, counters and windows.
 
-Batch and stream share their transformations. State is kept by Spark's state store under the
-query's checkpoint, so a lost executor or a restart resumes where the last commit was.
+A micro-batch is judged by DataFrame operations against the state before it, and leaves the state after it as a table of its own
+number, so a batch that is run again after a failure reads what it read the first time. A key with any share of the rows is cut
+by hours: what happens within an hour is a window of its own, and hours are joined by one row each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-BLOCK_OUT = "source string, event_id long, ts timestamp, blocked boolean"
-PIN_OUT = "source string, event_id long, ts timestamp, state string"
-
-
-def _ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(pdfs)
-    return pd.concat(frames).sort_values(["ts", "event_id"], kind="stable") if frames else pd.DataFrame(columns=["source", "event_id", "ts", "level", "control", "hash"])
-
-
-def _block(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A source with a critical event is blocked from the next event on, until an operator unblocks it."""
-    blocked = bool(state.get[0]) if state.exists else False
-    out = []
-    for event in _ordered(pdfs).itertuples(index=False):
-        if event.control == "unblock":
-            blocked = False
-            continue
-        out.append((key[0], event.event_id, event.ts, blocked))
-        blocked = blocked or event.level == 3 or event.control == "block"
-    state.update((blocked,))
-    yield pd.DataFrame(out, columns=["source", "event_id", "ts", "blocked"])
-
-
-def _pin(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first hash of a source is its pin for ever; others are changes."""
-    pinned = state.get[0] if state.exists else None
-    out = []
-    for event in _ordered(pdfs).itertuples(index=False):
-        if event.hash is None:
-            continue
-        state_name = "new" if pinned is None else "known" if event.hash == pinned else "changed"
-        pinned = pinned if pinned is not None else event.hash
-        out.append((key[0], event.event_id, event.ts, state_name))
-    if pinned is not None:
-        state.update((pinned,))
-    yield pd.DataFrame(out, columns=["source", "event_id", "ts", "state"])
-
-
-def blocklist(events: DataFrame) -> DataFrame:
-    """For each event of a stream (source, event_id, ts, level, control, hash): whether its source was blocked when it came."""
-    return events.groupBy("source").applyInPandasWithState(_block, BLOCK_OUT, "blocked boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def pins(events: DataFrame) -> DataFrame:
-    """For each event with a hash: new, known or changed against the first one of its source."""
-    return events.groupBy("source").applyInPandasWithState(_pin, PIN_OUT, "hash string", "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql.streaming import StreamingQuery
+
+BLOCK_STATE, PIN_STATE = "source string, blocked boolean", "source string, pin string"
+
+#: From a batch and the state before it, the rows to put out and the state after it.
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def block_step(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each event (source, event_id, ts, level, control) but unblocking ones whether its source was blocked when it came: source, event_id, ts, blocked.
+
+    A source with a critical event, or an order to block it, is blocked from the next event on, until an operator unblocks it.
+    """
+    turn = F.when(F.col("control") == "unblock", 0).when((F.col("level") == 3) | (F.col("control") == "block"), 1)
+    marked = events.select("source", "event_id", "ts", "control", turn.alias("turn"), F.date_trunc("hour", "ts").alias("hour"))
+    place = F.struct("ts", "event_id")
+    within = Window.partitionBy("source", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = marked.where(F.col("turn").isNotNull()).groupBy("source", "hour").agg(F.max_by("turn", place).alias("turn"))
+    hours = marked.groupBy("source", "hour").agg(F.count(F.lit(1)).alias("n")).join(last, ["source", "hour"], "left")
+    before = Window.partitionBy("source").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select("source", "hour", F.last("turn", ignorenulls=True).over(before).alias("carried"))
+    known = state.select("source", F.col("blocked").cast("int").alias("stored"))
+    judged = marked.withColumn("own", F.last("turn", ignorenulls=True).over(within)).join(carried, ["source", "hour"], "left").join(known, "source", "left")
+    rows = judged.where(F.coalesce("control", F.lit("")) != "unblock").select("source", "event_id", "ts", (F.coalesce("own", "carried", "stored", F.lit(0)) == 1).alias("blocked"))
+    final = last.groupBy("source").agg((F.max_by("turn", "hour") == 1).alias("now"))
+    after = state.join(final, "source", "full").select("source", F.coalesce("now", "blocked").alias("blocked"))
+    return rows, after
+
+
+def pin_step(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each event with a hash new, known or changed against the first one of its source: source, event_id, ts, state. The first hash is the pin for ever."""
+    hashed = events.where(F.col("hash").isNotNull())
+    first = hashed.groupBy("source").agg(F.min_by(F.struct("hash", "event_id"), F.struct("ts", "event_id")).alias("first"))
+    pins = first.join(state, "source", "full").select("source", F.coalesce("pin", "first.hash").alias("pin"), F.when(F.col("pin").isNull(), F.col("first.event_id")).alias("__new"))
+    seen = hashed.join(pins, "source").select("source", "event_id", "ts", F.when(F.col("event_id") == F.col("__new"), "new").when(F.col("hash") == F.col("pin"), "known").otherwise("changed").alias("state"))
+    return seen, pins.select("source", "pin")
+
+
+def run_with_state(events: DataFrame, step: Step, schema: str, root: str) -> StreamingQuery:
+    """The stream of ``events`` through ``step``: rows under ``root``/out, state under ``root``/state, both by batch number; a batch that is run again overwrites its own."""
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = f"{root}/state/batch={number - 1}"
+        before = spark.read.schema(schema).parquet(at) if number else spark.createDataFrame([], schema)
+        rows, after = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        after.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start()
 
 
 def counters(events: DataFrame) -> DataFrame:
