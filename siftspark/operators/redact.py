@@ -130,12 +130,14 @@ _THREE, _TWO = ("GpF", "FGp", "fii", "iif"), ("gf", "gp", "fg")
 def russian_names(text: str) -> Iterator[Match]:
     """Full names of two or three parts, by what their parts can be and by what announces them."""
     words = [] if text.isascii() else list(_RU_WORD.finditer(text))
+    # Every order has one of these: a given name, a patronymic or an initial. Most words are none.
+    known = [w[0].endswith(".") or _is_given(w[0]) or bool(_PATRONYMIC_END.search(w[0])) for w in words]
     at = 0
     while at < len(words):
         taken = 0
         for size, orders in ((3, _THREE), (2, _TWO)):
             part = words[at : at + size]
-            if len(part) < size:
+            if len(part) < size or not any(known[at : at + size]):
                 continue
             start, end = part[0].start(), part[-1].end()
             if any(len(gap := text[a.end() : b.start()]) > 16 or gap.strip(" \t  ") for a, b in zip(part, part[1:])):  # noqa: B905

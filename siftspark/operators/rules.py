@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import regexlang
+from siftspark.operators.text import has_any
 from siftspark.session import spread
 
 # The level each category has.
@@ -121,7 +122,7 @@ def matches(text: str, low: str, rules: Sequence[Rule]) -> Iterator[tuple[Rule,
     """(rule, start, end) in characters of each match, rule by rule; ``low`` is the folded text."""
     for rule in rules:
         anchors = ANCHORS.get(rule.rule_id)
-        if anchors is None or any(a in low for a in anchors):
+        if anchors is None or has_any(low, anchors):
             for m in regexlang.python(rule.pattern).finditer(text):
                 start, end = m.span(rule.group)
                 if start < end:

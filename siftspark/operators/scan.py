@@ -47,7 +47,8 @@ NAMES = ("detector", "rule_id", "category", "level", "confidence", "depth", "cha
 
 
 def lexical_scores(texts: Sequence[str]) -> list[float]:
-    return [T.lexical(t) or 0.0 for t in texts]
+    """The lexical scores; 0 where a text has too few signs to reach what counts, whatever its exact score."""
+    return [(T.lexical(t) or 0.0) if T.may_score(t, CLASSIFIED_FROM) else 0.0 for t in texts]
 
 
 def never(texts: Sequence[str]) -> list[float]:

@@ -183,6 +183,13 @@ CANDIDATE = rf"(?m){_NAMED}|^\s*\$\s|^```"
 SCRIPTS = (".sh", ".bash", ".zsh")
 
 _LIKELY = re.compile(_NAMED)
+_TOKENS = re.compile(r"[A-Za-z0-9_]+")
+_HEADS = frozenset(_TOKENS.match(c)[0] for c in (*COMMANDS, "history"))
+
+
+def _likely(line: str) -> bool:
+    """Whether a line may hold commands: the names' first words are looked for before the pattern is tried."""
+    return ("$" in line or "/dev/" in line or not _HEADS.isdisjoint(_TOKENS.findall(line))) and bool(_LIKELY.search(line))
 
 
 class _Unparsed(ValueError):
@@ -379,7 +386,7 @@ def _snippets(text: str, source: str | None) -> Iterator[tuple[str, bool, int]]:
             line = line.strip()
             if line.startswith("$ "):
                 yield line[2:], False, at + 2
-            elif _LIKELY.search(line):
+            elif _likely(line):
                 yield line, False, at
 
 

@@ -144,7 +144,11 @@ def tool_cross_origin(spark, sf_dir):
     return mentions(rows, servers, "texts", "mentions").where("mentions <> lower(server)").distinct()
 
 
-@_query()
+@_query(f"""WITH l AS (SELECT server, name, description, received_at, snapshot_id, {_DUCK_HASH} AS h FROM tool_snapshot WHERE listed AND name IS NOT NULL AND server IS NOT NULL),
+a AS (SELECT server, name, h AS first_hash FROM l QUALIFY row_number() OVER (PARTITION BY server, name ORDER BY received_at, snapshot_id) = 1),
+z AS (SELECT server, name, h AS last_hash, coalesce(regexp_matches(description, {sql_text(re2(tools.STEERS, "i"))}), false) AS steering FROM l QUALIFY row_number() OVER (PARTITION BY server, name ORDER BY received_at DESC, snapshot_id DESC) = 1),
+n AS (SELECT name, count(DISTINCT server) > 1 AS shared FROM z GROUP BY name)
+SELECT z.server, z.name, last_hash <> first_hash AS changed, steering, shared, CAST((last_hash <> first_hash)::INT + steering::INT + shared::INT AS INT) AS warnings FROM z JOIN a USING (server, name) JOIN n USING (name)""")
 def tool_integrity(spark, sf_dir):
     """The last listing of each tool against its first one."""
     listed = table(spark, sf_dir, "tool_snapshot").where("listed AND name IS NOT NULL AND server IS NOT NULL")
