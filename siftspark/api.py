@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -70,3 +72,17 @@ class Scanner:
 
         verdict = self.scan(raw, kind, source, trusted)
         return sanitize.apply((normalized(raw) or "") if verdict["action"] == "sanitize" else raw, source, verdict)
+
+
+def load_config(path: str | None) -> Scanner:
+    """A scanner by a JSON file: {"policy", "redact": {"keywords", "allowlist", "minEntropy"}}, all of them optional. No file gives the defaults; unknown fields are passed over.
+
+    The path is the caller's: nothing is read from the folder that is scanned.
+    """
+    if not path or not os.path.exists(path):
+        return Scanner()
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    hidden = given.get("redact") or {}
+    options = redact.Options(keywords=tuple(hidden.get("keywords") or ()), allowlist=tuple(hidden.get("allowlist") or ()), least_entropy=float(hidden.get("minEntropy") or 0))
+    return Scanner(profile=profile_named(given.get("policy")), options=options)

@@ -49,6 +49,31 @@ def serialize(contract: str, task: str, documents: Sequence[dict]) -> str:
     return json.dumps({"contract": contract, "task": task, "documents": shown}, ensure_ascii=False, separators=(",", ":")).replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
 
 
+#: Bytes of a request as JSON.
+REQUEST_BYTES = 8 << 20
+_FIELDS, _DOCUMENT_FIELDS = {"contract", "task", "documents"}, {"kind", "trust", "text", "source"}
+
+
+def read_request(text: str | None) -> tuple[str | None, str | None, list[dict]]:
+    """(contract, task, documents) of a request as JSON. Refused: what isn't one object, has unknown or repeated fields, fields of another kind, anything behind it, or over the limit."""
+
+    def pairs(items: list) -> dict:
+        if len({k for k, _ in items}) != len(items):
+            raise Failed("repeated field")
+        return dict(items)
+
+    if text is None or len(text.encode("utf-8", "replace")) > REQUEST_BYTES:
+        raise Failed("no request, or over the limit")
+    value = json.loads(text, object_pairs_hook=pairs)
+    words = lambda d, names: all(d.get(n) is None or isinstance(d[n], str) for n in names)
+    if not isinstance(value, dict) or not set(value) <= _FIELDS or not words(value, ("contract", "task")) or not isinstance(value.get("documents", []), list | type(None)):
+        raise Failed("form")
+    documents = value.get("documents") or []
+    if not all(isinstance(d, dict) and set(d) <= _DOCUMENT_FIELDS and words(d, _DOCUMENT_FIELDS) for d in documents):
+        raise Failed("form of a document")
+    return value.get("contract"), value.get("task"), [{n: d.get(n) for n in ("kind", "trust", "text", "source")} for d in documents]
+
+
 def _boundary(raw: bytes, end: int, start: int) -> int:
     """``end`` or the last start of a character before it."""
     while start < end < len(raw) and raw[end] & 0xC0 == 0x80:

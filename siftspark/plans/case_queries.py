@@ -497,6 +497,22 @@ _cases(
 )
 
 
+def _request(text):
+    try:
+        contract, task, documents = context.read_request(text)
+    except (ValueError, RecursionError):
+        return (False, None, None)
+    return (True, task, len(documents))
+
+
+_cases(
+    "request_cases", "text string", "valid boolean, task string, documents int",
+    [
+        ('{"contract":"context-json-v2","task":"t","documents":[{"kind":"file","trust":"untrusted","text":"x"}]}', True, "t", 1), ('{"task":"t"}', True, "t", 0), ('{"task":"t","more":1}', False, None, None), ('{"documents":[{"text":"x","role":"y"}]}', False, None, None),
+        ('{"task":1}', False, None, None), ('{"documents":{}}', False, None, None), ('{"task":"a","task":"b"}', False, None, None), ("{} x", False, None, None), ("[]", False, None, None), (None, False, None, None),
+    ],
+    lambda df: df.withColumn("c", _with(_request, "struct<valid:boolean,task:string,documents:int>", "text")).select("case_id", "c.*"),
+)
 # ---- images, events, paths, tokens ------------------------------------------------------
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))

@@ -201,3 +201,21 @@ def test_unigram_is_the_best_way_to_cut():
         assert "".join(cut) == text
         assert sum(pieces.get(p, -30.0 * len(p)) for p in cut) == pytest.approx(max(ways(text)))
     assert u.encode("xab") == [0, 3]
+
+
+def test_config(tmp_path):
+    from siftspark.api import load_config
+
+    at = tmp_path / "c.json"
+    assert load_config(None) == load_config(str(at)) == Scanner()
+    at.write_text('{"policy":"balanced","redact":{"keywords":["falcon"]},"theme":"dark"}')
+    scanner = load_config(str(at))
+    assert scanner.profile is BALANCED and {f["category"] for f in scanner.scan("a Falcon")["findings"]} == {"pii"}
+    at.write_text('{"policy":"lax"}')
+    with pytest.raises(ValueError, match="profile"):
+        load_config(str(at))
+
+
+def test_long_requests_are_refused():
+    with pytest.raises(ValueError, match="limit"):
+        context.read_request('{"task":"' + "t" * 9_000_000 + '"}')
