@@ -20,10 +20,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        table(spark, sf_dir, tab).dropDuplicates([key]).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), masked(F.col(text), as_json).alias("masked"))
-        for tab, key, text, as_json in _FIELDS
-    ]
+    """The texts with placeholders. Only hook_input has rows sent twice, so only its texts are shuffled to have each once."""
+    parts = []
+    for tab, key, text, as_json in _FIELDS:
+        rows = table(spark, sf_dir, tab).select(key, text)
+        rows = rows.dropDuplicates([key]) if tab == "hook_input" else spread(rows)
+        parts.append(rows.select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), masked(F.col(text), as_json).alias("masked")))
     return parts[0].unionByName(parts[1])
 
 
