@@ -29,14 +29,13 @@ def block_step(events: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
     marked = events.select("source", "event_id", "ts", "control", turn.alias("turn"), F.date_trunc("hour", "ts").alias("hour"))
     place = F.struct("ts", "event_id")
     within = Window.partitionBy("source", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = marked.where(F.col("turn").isNotNull()).groupBy("source", "hour").agg(F.max_by("turn", place).alias("turn"))
-    hours = marked.groupBy("source", "hour").agg(F.count(F.lit(1)).alias("n")).join(last, ["source", "hour"], "left")
+    hours = marked.groupBy("source", "hour").agg(F.max_by("turn", F.when(F.col("turn").isNotNull(), place)).alias("turn"))
     before = Window.partitionBy("source").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = hours.select("source", "hour", F.last("turn", ignorenulls=True).over(before).alias("carried"))
     known = state.select("source", F.col("blocked").cast("int").alias("stored"))
     judged = marked.withColumn("own", F.last("turn", ignorenulls=True).over(within)).join(carried, ["source", "hour"], "left").join(known, "source", "left")
     rows = judged.where(F.coalesce("control", F.lit("")) != "unblock").select("source", "event_id", "ts", (F.coalesce("own", "carried", "stored", F.lit(0)) == 1).alias("blocked"))
-    final = last.groupBy("source").agg((F.max_by("turn", "hour") == 1).alias("now"))
+    final = hours.where(F.col("turn").isNotNull()).groupBy("source").agg((F.max_by("turn", "hour") == 1).alias("now"))
     after = state.join(final, "source", "full").select("source", F.coalesce("now", "blocked").alias("blocked"))
     return rows, after
 
